@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_reputation, interleave, line_crf, mixing, progressive_jpeg, simhash_pivot
+from . import bpe, contextual_pii, host_reputation, interleave, line_crf, mixing, progressive_jpeg, simhash_pivot, site_quality, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.quality_rules(docs, line_crf.trained_field(docs, table(spark, sf_dir, "labels")))
@@ -27,6 +31,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = site_quality.fit_text_model(docs, site_quality.bad_labels(table(spark, sf_dir, "labels")))
+    out = site_quality.rated(docs, model, keep=["doc_id"])
+    return out.select("doc_id", F.round("_p", 6).alias("p_bad"), F.round("_site", 6).alias("site_rate"), F.round("_posterior", 6).alias("posterior"), F.col("_keep").alias("kept"))
+
+
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_jpeg.media_digests(table(spark, sf_dir, "documents"))
 
@@ -36,6 +47,10 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_mx_size").alias("size"), F.col("_mx_total").alias("source_size"), F.col("_mx_target").alias("target"), (F.col("_mx_copies") * F.col("_mx_size")).alias("taken"))
 
 
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextual_pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivot.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +66,7 @@ def op10_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_line_crf, op3_bpe, op5_progressive_jpeg, op6_systematic_mix, op8_simhash, op9_host_reputation, op10_interleave)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_line_crf, op3_bpe, op4_site_quality, op5_progressive_jpeg, op6_systematic_mix, op7_contextual_pii, op8_simhash, op9_host_reputation, op10_interleave)}
 
 
 OP6_SQL = r"""

@@ -221,3 +221,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of = of.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     out = marks.join(of, marks.fp == F.col("_fp"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of the smallest id of each component; of rows with that id and equal fingerprints, one."""
+    first = near_duplicates(docs, doc_id, text).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, F.col(doc_id).eqNullSafe(F.col("_first")), "left_semi").dropDuplicates([doc_id])
