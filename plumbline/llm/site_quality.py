@@ -29,7 +29,7 @@ from .common import shared_dir
 
 SAMPLE, SAMPLE_WORDS = 12_000, 4_000
 VOCABULARY, MIN_DOCS, MIN_Z, MIN_LIFT = 30_000, 4, 3.5, 1.5
-STRENGTH, REJECT_ABOVE, BROADCAST_SITES = 50.0, 0.5, 100_000
+STRENGTH, REJECT_ABOVE, BROADCAST_SITES = 50.0, 0.33, 100_000
 SYMBOLS = b"#*$%&|<>"
 #: Punctuation at word ends becomes a space.
 _PLAIN = bytes(32 if chr(b) in ".,;:?!\"'()" else b for b in range(256))
