@@ -1 +1,11 @@
-"""Plumbline: declarative data quality on Spark DataFrames."""
+"""Plumbline: declarative data quality on Spark DataFrames, batch and streaming."""
+
+from .catalog import CHECKS, RuleError
+from .operators.contract import SchemaContract, check_schema, extract_schema
+from .operators.profile import profile
+from .operators.validate import validate
+from .results import Report, Result
+from .rules import Rule
+from .streaming.records import validate_records
+
+__all__ = ["CHECKS", "Report", "Result", "Rule", "RuleError", "SchemaContract", "check_schema", "extract_schema", "profile", "validate", "validate_records"]
