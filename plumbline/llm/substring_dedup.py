@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, chunks, covered, release, second_windows, stored, windows, word_ids
+from .common import U64, WordHash, chunks, covered, mixed, release, second_windows, stored, windows, word_ids
 
 WINDOW, BLOCK = 20, 10
 #: Bytes of text in a chunk, and words for each bucket.
@@ -151,19 +151,54 @@ def _probe(n_buckets: int):
     return run
 
 
-def _by_doc(keys: np.ndarray, pos: np.ndarray, names: list[str]):
-    """Positions of each text as bytes: a row for each text."""
-    if not len(pos):
-        return None
-    order = np.lexsort((pos, *(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1))))
-    keys, pos = keys[order], pos[order].astype(np.uint32)
-    first = np.nonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))[0]
-    ends = np.append(first, len(pos))[1:]
-    made = pa.array([pos[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())
-    return pa.RecordBatch.from_arrays([*(pa.array(keys[first, k]) for k in range(keys.shape[1])), made], [*names, "places"])
+PARTS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
 
-def _hits(table: pa.Table) -> pa.Table:
+def _new_docs(keys: np.ndarray) -> np.ndarray:
+    """Where a text begins among sorted entries."""
+    return np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))
+
+
+def _dealt(done: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Table:
+    """Places of texts, packed for ``n`` parts of the texts: as many rows at most."""
+    keys = np.concatenate([d[0] for d in done]) if done else np.empty((0, 1), np.int64)
+    pos = np.concatenate([d[1] for d in done]) if done else np.empty(0, np.int64)
+    rows = []
+    if len(pos):
+        part = (mixed(keys[:, 0].astype(U64)) % U64(n)).astype(np.int64)
+        order = np.lexsort((pos, *(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)), part))
+        keys, pos, part = keys[order], pos[order], part[order]
+        new = _new_docs(keys)
+        doc, names = np.cumsum(new) - 1, keys[new]
+        ends = np.append(np.nonzero(np.concatenate(([True], part[1:] != part[:-1])))[0], len(part))
+        rows = [(int(part[x]), _packed(names, doc[x:y], pos[x:y])) for x, y in zip(ends, ends[1:])]
+    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=PARTS)
+
+
+def _gathered(names: list[str]):
+    """One part's blobs to a row for each text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        got = [_unpacked(blob, len(names)) for blob in table.column("blob").to_pylist()]
+        keys, pos = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        order = np.lexsort((pos, *(keys[:, k] for k in range(len(names) - 1, -1, -1))))
+        keys, pos = keys[order], pos[order].astype(np.uint32)
+        first = np.nonzero(_new_docs(keys))[0]
+        ends = np.append(first, len(pos))[1:]
+        made = pa.array([pos[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())
+        return pa.Table.from_arrays([*(pa.array(keys[first, k]) for k in range(len(names))), made], [*names, "places"])
+
+    return run
+
+
+def _meet(entries: DataFrame, settle, n: int, names: list[str]) -> DataFrame:
+    """Settle the entries of each bucket, and bring what is found back to the texts: a row for each text."""
+    found = entries.groupBy("bucket").applyInArrow(lambda t: settle(t, n), "part int, blob binary")
+    columns = ", ".join(f"{c} long" for c in names)
+    return found.groupBy("part").applyInArrow(_gathered(names), f"{columns}, places binary")
+
+
+def _hits(table: pa.Table, n: int) -> pa.Table:
     """One bucket's entries to the places of hits."""
     keys, poss, rems, flags, done = [], [], [], [], []
     for blob in table.column("blob").to_pylist():
@@ -180,8 +215,7 @@ def _hits(table: pa.Table) -> pa.Table:
         anchored = np.bincount(group, weights=(flag & 1)[order]) > 0
         hit = np.sort(order[again & anchored[group]])
         done.append((np.concatenate(keys)[hit], np.concatenate(poss)[hit]))
-    out = _by_doc(np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done]), ["doc_key"]) if done else None
-    return pa.Table.from_batches([out] if out is not None else [], pa.schema([("doc_key", pa.int64()), ("places", pa.binary())]))
+    return _dealt(done, n)
 
 
 def _candidates(n_buckets: int):
@@ -201,8 +235,7 @@ def _candidates(n_buckets: int):
                 continue
             hit = np.zeros(len(flat) + 1, np.int64)
             for n, i in enumerate(at):
-                for places in rows[i][2]:
-                    hit[start[n] + np.frombuffer(places, np.uint32).astype(np.int64)] = 1
+                hit[start[n] + np.frombuffer(rows[i][2], np.uint32).astype(np.int64)] = 1
             upto = np.concatenate(([0], np.cumsum(hit)))
             begin = np.arange(len(keys))
             near = upto[begin + WINDOW - BLOCK + 1] > upto[begin]  # a 10-word window of it is a hit
@@ -226,7 +259,7 @@ def _candidates(n_buckets: int):
     return run
 
 
-def _later(table: pa.Table) -> pa.Table:
+def _later(table: pa.Table, n: int) -> pa.Table:
     """One bucket's windows to the places of those that aren't the first of their key."""
     keys, poss, hashes, mores, done = [], [], [], [], []
     for blob in table.column("blob").to_pylist():
@@ -241,23 +274,21 @@ def _later(table: pa.Table) -> pa.Table:
         h, m = h[order], m[order]
         later = order[1:][(h[1:] == h[:-1]) & (m[1:] == m[:-1])]
         done.append((key[later], pos[later]))
-    out = _by_doc(np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done]), ["doc_key", "text_key"]) if done else None
-    return pa.Table.from_batches([out] if out is not None else [], pa.schema([("doc_key", pa.int64()), ("text_key", pa.int64()), ("places", pa.binary())]))
+    return _dealt(done, n)
 
 
 def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_key, text_key and places (lists of start words, uint32 bytes) of all 20-word windows that start earlier elsewhere."""
+    """doc_key, text_key and places (start words, uint32 bytes) of all 20-word windows that start earlier elsewhere."""
     spark = docs.sparkSession
     n = buckets_for(docs, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_key"), F.col(text).alias("text"))
     probes = rows.mapInArrow(_probe(n), "bucket int, blob binary")
-    hits = stored(probes.groupBy("bucket").applyInArrow(_hits, "doc_key long, places binary"), "anchor-hits")
+    hits = stored(_meet(probes, _hits, n, ["doc_key"]).withColumnRenamed("places", "hits"), "anchor-hits")
     del probes
     release(spark)
-    hits = hits.groupBy("doc_key").agg(F.collect_list("places").alias("hits"))
     near = rows.withColumn("doc_key", F.coalesce("doc_key", F.lit(NULL_ID))).join(hits, "doc_key").select("doc_key", "text", "hits")
     found = near.mapInArrow(_candidates(n), "bucket int, blob binary")
-    out = stored(found.groupBy("bucket").applyInArrow(_later, "doc_key long, text_key long, places binary"), "repeats")
+    out = stored(_meet(found, _later, n, ["doc_key", "text_key"]), "repeats")
     del found, near, hits
     release(spark)
     return out
@@ -273,7 +304,7 @@ def _removed(batches):
                 words = (text or "").encode().split()
                 counts.append(len(words))
                 if places:
-                    at = np.frombuffer(b"".join(places), np.uint32).astype(np.int64)
+                    at = np.frombuffer(places, np.uint32).astype(np.int64)
                     mask = covered(at, WINDOW, len(words))
                     words = [words[k] for k in np.nonzero(~mask)[0].tolist()]
                 gone.append(counts[-1] - len(words))
@@ -290,7 +321,7 @@ def _digested(batches):
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, text (the kept words joined by one space), n_words, n_removed for every row; or, with ``digest``, the
     kept text's SHA-256 (kept_sha256) in its place."""
-    repeats = repeated_places(docs, doc_id, text).groupBy("doc_key", "text_key").agg(F.collect_list("places").alias("places"))
+    repeats = repeated_places(docs, doc_id, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("doc_key")) & (F.xxhash64("text") == F.col("text_key"))
     marked = rows.join(repeats, same, "left")
