@@ -93,7 +93,7 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     df = located(df, "ip", IP, F.col("_digit") & F.col("_text").rlike(r"[0-9]\.[0-9]"))
     df = located(df, "card", CARD, F.col("_digit"))
     df = located(df, "phone", PHONE, F.col("_digit") & F.contains("_text", F.lit("+")))
-    df = located(df, "tokens", TOKEN, F.col("_digit"))
+    df = located(df, "tokens", TOKEN, F.col("_digit") | F.col("_at"))
     card = lambda s: (F.length(_digits(s["value"])).between(16, 19)) & F.when(F.length(_digits(s["value"])).between(16, 19), _luhn(_digits(s["value"]))).otherwise(False)
     rules = {"email": lambda s: F.lit(True), "ip": lambda s: s["value"].rlike(IP_OK), "card": card, "phone": lambda s: F.length(_digits(s["value"])).between(8, 15)}
     tagged = lambda k: lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
@@ -106,10 +106,11 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         return F.struct(s["n"].alias("n"), (s["start"] + lead).alias("start"), (s["start"] + lead + F.char_length(word)).alias("end"), word.alias("value"))
 
     df = df.withColumn("_cores", F.transform("tokens", core))
-    df = df.withColumn("_cores", F.filter("_cores", lambda s: (F.char_length(s["value"]) >= 8) & (F.length(_digits(s["value"])) >= 4)))
     left = lambda s: F.lower(F.regexp_extract(F.right(F.get(F.col("_tokens_p"), s["n"]), F.lit(CONTEXT)), rf"([^{WHITE}]+)[{WHITE}]+$", 1))
     right = lambda s: F.lower(F.regexp_extract(F.left(F.get(F.col("_tokens_p"), s["n"] + 1), F.lit(CONTEXT)), rf"^[{WHITE}]+([^{WHITE}]+)", 1))
     seed = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    # seeds of any shape teach patterns; what patterns may find has the shape of an identifier
+    df = df.withColumn("_cores", F.filter("_cores", lambda s: ((F.char_length(s["value"]) >= 8) & (F.length(_digits(s["value"])) >= 4)) | seed(s)))
     tokens = F.transform("_cores", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), left(s).alias("left"), right(s).alias("right"), seed(s).alias("seed")))
     return df.select("doc_id", "text_key", "base", tokens.alias("tokens"))
 

@@ -51,9 +51,9 @@ def reputations(outcomes: DataFrame, z: float = Z, block_above: float = BLOCK_AB
     whole = h.agg(F.sum("n").alias("N"), F.sum("bad").alias("B"), F.sum(F.col("n") * F.col("n")).alias("N2"), F.sum(F.when(F.col("n") > 0, F.col("bad") * F.col("bad") / F.col("n"))).alias("P2"), F.count(F.when(F.col("n") > 0, 1)).alias("H"))
     g = F.when(F.col("N") > 0, F.col("B") / F.col("N")).otherwise(F.lit(0.5))
     whole = whole.withColumn("g", g).withColumn("v", F.col("g") * (1 - F.col("g")))
-    spread = (F.col("P2") - F.col("N") * F.col("g") * F.col("g")) / F.col("v") - (F.col("H") - 1)
-    room = F.col("N") - F.col("N2") / F.col("N") - (F.col("H") - 1)
-    rho = F.when((F.col("v") > 0) & (room > 0), spread / room).otherwise(F.lit(RHO[0]))
+    spread = F.try_divide(F.col("P2") - F.col("N") * F.col("g") * F.col("g"), F.col("v")) - (F.col("H") - 1)
+    room = F.col("N") - F.try_divide(F.col("N2"), F.col("N")) - (F.col("H") - 1)
+    rho = F.when((F.col("v") > 0) & (room > 0), F.try_divide(spread, room)).otherwise(F.lit(RHO[0]))
     whole = whole.select("g", (1 / F.least(F.greatest(F.coalesce(rho, F.lit(RHO[0])), F.lit(RHO[0])), F.lit(RHO[1])) - 1).alias("k"))
     suffix = h.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # one row of totals: a broadcast of bounded size

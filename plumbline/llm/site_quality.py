@@ -124,6 +124,8 @@ def fit_text_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
     kind = rows.schema["_doc"].dataType.simpleString()
     got = rows.select("_doc", "_text", "bad").mapInArrow(run, f"_doc {kind}, bad int, stats binary, words binary").toArrow()
+    if not len(got):
+        return TextModel()
     order = sorted(range(len(got)), key=lambda i, c=got.column("_doc").to_pylist(), w=got.column("words").to_pylist(): (c[i], w[i]))
     got = got.take(order)
     stats = np.frombuffer(b"".join(got.column("stats").to_pylist()), float).reshape(-1, STATS)

@@ -272,7 +272,9 @@ def _later(table: pa.Table, n: int) -> pa.Table:
         key, pos, h, m = np.concatenate(keys), np.concatenate(poss), np.concatenate(hashes), np.concatenate(mores)
         order = np.lexsort((pos, key[:, 1], key[:, 0], m, h))
         h, m = h[order], m[order]
-        later = order[1:][(h[1:] == h[:-1]) & (m[1:] == m[:-1])]
+        group = np.cumsum(np.concatenate(([True], (h[1:] != h[:-1]) | (m[1:] != m[:-1])))) - 1
+        first = order[np.searchsorted(group, group)]  # the first place of each one's key; equal rows share it
+        later = order[(key[order] != key[first]).any(1) | (pos[order] != pos[first])]
         done.append((key[later], pos[later]))
     return _dealt(done, n)
 
