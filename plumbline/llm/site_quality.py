@@ -11,8 +11,8 @@ The classifier is fitted on at most ``SAMPLE`` labelled documents, taken in orde
 host sends a row for each task; the site table is broadcast only if it has at most ``BROADCAST_SITES`` rows.
 
 Defined cases: null or empty text has the statistics of no words and is scored like any other; null host or path is a
-site of its own; null labels aren't used; without labels of both kinds every document has the base rate 1/2 and is
-kept; repeated rows are scored alike; other columns pass through ``keep_good``.
+site of its own; null labels aren't used; without labels of both kinds every document has the log odds ``UNTRAINED`` and
+is kept; repeated rows are scored alike; other columns pass through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Punctuation at word ends becomes a space.
 _PLAIN = bytes(32 if chr(b) in ".,;:?!\"'()" else b for b in range(256))
 STATS = 11
+UNTRAINED = -3.0
 
 
 def statistics(text: str) -> tuple[np.ndarray, set[bytes]]:
@@ -67,7 +68,7 @@ class TextModel:
     """Weights of the statistics and of words; ``logit`` is the log odds of a text being bad."""
 
     def __init__(self, stats=None, words: dict[bytes, float] | None = None):
-        self.stats = np.zeros(STATS) if stats is None else np.asarray(stats, float)
+        self.stats = np.array([UNTRAINED, *[0.0] * (STATS - 1)]) if stats is None else np.asarray(stats, float)
         self.words = words or {}
         self.known = frozenset(self.words)
 
