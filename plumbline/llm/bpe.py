@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 #: Fixed value: the split pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a worker remembers at most: ids of words between spaces, ids of pieces, tests of neighbours. Longer ones aren't kept.
-WORDS, PIECES, SEAMS, LONGEST = 400_000, 200_000, 400_000, 64
+WORDS, PIECES, SEAMS, LONGEST = 200_000, 100_000, 200_000, 64
 
 
 _WIDE = regex.compile(r" \s|\s ").search
@@ -194,6 +194,11 @@ class ByteBPE:
                     ids.extend(chain.from_iterable([known(w) or new(w) for w in words]))
         return ids
 
+    def forget(self) -> None:
+        """Free what has been remembered: an idle worker keeps the tables alone."""
+        for memory in (self.words, self.pieces, self.fits, self.goto):
+            memory.clear()
+
     def decode(self, ids: list[int]) -> str:
         """Bytes of all tokens, read as UTF-8; what isn't UTF-8 becomes U+FFFD. Added tokens stay."""
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -226,6 +231,7 @@ def _as_rows(path: str, text: str, digest: bool):
                 else:
                     more = [pa.array(ids, pa.list_(pa.int32())), counts]
                     yield pa.RecordBatch.from_arrays([*part.columns, *more], part.schema.names + ["token_ids", "n_tokens"])
+        bpe.forget()
 
     return run
 
