@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 #: Fixed value: the split pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a worker remembers at most: ids of words between spaces, ids of pieces, tests of neighbours. Longer ones aren't kept.
@@ -194,29 +196,16 @@ class ByteBPE:
                     ids.extend(chain.from_iterable([known(w) or new(w) for w in words]))
         return ids
 
-    def forget(self) -> None:
-        """Free what has been remembered: an idle worker keeps the tables alone."""
-        for memory in (self.words, self.pieces, self.fits, self.goto):
-            memory.clear()
-
     def decode(self, ids: list[int]) -> str:
         """Bytes of all tokens, read as UTF-8; what isn't UTF-8 becomes U+FFFD. Added tokens stay."""
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_loaded: dict[str, ByteBPE] = {}
-
-
-def tokenizer(path: str) -> ByteBPE:
-    if path not in _loaded:
-        _loaded[path] = ByteBPE(path)
-    return _loaded[path]
-
-
 def _as_rows(path: str, text: str, digest: bool):
     def run(batches):
-        bpe = tokenizer(path)
+        bpe = None  # made for this partition only: workers that wait for other tasks hold no tables
         for batch in batches:
+            bpe = bpe or ByteBPE(path)
             at = batch.schema.get_field_index(text)
             for start in range(0, batch.num_rows, 256):  # bounds what is held in Python at a time
                 part = batch.slice(start, 256)
@@ -231,7 +220,8 @@ def _as_rows(path: str, text: str, digest: bool):
                 else:
                     more = [pa.array(ids, pa.list_(pa.int32())), counts]
                     yield pa.RecordBatch.from_arrays([*part.columns, *more], part.schema.names + ["token_ids", "n_tokens"])
-        bpe.forget()
+        bpe = batch = part = ids = more = None
+        give_back()
 
     return run
 

@@ -8,6 +8,7 @@ import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,18 @@ def covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256):
+    """A batch in slices of ``rows``: what is held as Python objects at a time."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers wait for other tasks and are not ended meanwhile."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(batches, limit: int, size=lambda row: len(row[1])):
     """Rows of Arrow batches as tuples, in lists of at most ``limit`` in size (a larger row alone)."""
     held, total = [], 0

@@ -22,7 +22,7 @@ gives an empty result; other columns are not used; texts are handled whole.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BANDS, BAND_BITS = 8, 8
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 

@@ -18,14 +18,15 @@ is kept; repeated rows are scored alike; other columns pass through ``keep_good`
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import chain
+from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import give_back, shared_dir, slices
 
 SAMPLE, SAMPLE_WORDS = 12_000, 4_000
 VOCABULARY, MIN_DOCS, MIN_Z, MIN_LIFT = 30_000, 4, 3.5, 1.5
@@ -34,6 +35,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Punctuation at word ends becomes a space.
 _PLAIN = bytes(32 if chr(b) in ".,;:?!\"'()" else b for b in range(256))
 STATS = 11
+#: Texts held as Python objects at a time.
+SLICE = 256
 UNTRAINED = -3.0
 
 
@@ -118,7 +121,7 @@ def fit_text_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
 
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             made = [statistics(t or "") for t in batch.column(1).to_pylist()]
             words = [b" ".join(sorted(w)[:SAMPLE_WORDS]) for _, w in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s, _ in made], pa.binary()), pa.array(words, pa.binary())], ["_doc", "bad", "stats", "words"])
@@ -137,17 +140,16 @@ def log_odds(model: TextModel, text: str = "text") -> Column:
     """The classifier's log odds of each text being bad."""
     stats, words = model.stats.tolist(), model.words
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        global _model
-        if _model is None or _model[0] != id(words):
-            _model = (id(words), TextModel(stats, words))
-        return texts.map(_model[1].logit)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        logit = TextModel(stats, words).logit
+        for texts in batches:
+            out = np.empty(len(texts))
+            for start in range(0, len(texts), SLICE):
+                out[start : start + SLICE] = [logit(t) for t in texts.slice(start, SLICE).to_pylist()]
+            yield pa.array(out)
+        give_back()
 
-    return score(F.coalesce(F.col(text), F.lit("")))
-
-
-_model = None
+    return F.arrow_udf(score, "double")(F.coalesce(F.col(text), F.lit("")))
 
 
 def sites(scored: DataFrame) -> DataFrame:

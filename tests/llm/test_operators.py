@@ -106,7 +106,7 @@ def test_field_learns():
 def test_bpe_as_the_library_does(docs, rows, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
-    reference, mine = tokenizers.Tokenizer.from_file(path), bpe.tokenizer(path)
+    reference, mine = tokenizers.Tokenizer.from_file(path), bpe.ByteBPE(path)
     rng = random.Random(2)
     letters = [*map(chr, range(0x180)), *" \t\n\r\x0b\x1c\x85\u00a0\u2003'", "<|endoftext|>", "日", "😀", "the", "ing", "\u0301"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + [r[1] or "" for r in rows] + ["a" * 5000, "  x  y ", "\n \n"]
