@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from itertools import chain
+from array import array
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -54,24 +55,32 @@ class ByteBPE:
             raise ValueError("only byte-level BPE without normalizer and prefix space is supported")
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         vocab = model["vocab"]
-        as_bytes = lambda s: bytes(to_byte[c] for c in s)
-        self.text_of = {i: as_bytes(s) for s, i in vocab.items() if s not in self.added}
-        self.text_of |= {i: s.encode() for s, i in self.added.items()}
         # nodes: the 256 bytes (rank = byte), then one for each merge in order of rank; node numbers compare as ranks
         names = [*({b: c for c, b in to_byte.items()}[b] for b in range(256))]
         node = {n: i for i, n in enumerate(names)}
-        self.halves: list[tuple[int, int]] = [(i, i) for i in range(256)]
-        self.merge: dict[tuple[int, int], int] = {}
+        halves, pairs = array("i", [i for b in range(256) for i in (b, b)]), array("i")
         for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             if (made := a + b) not in node:
-                node[made] = len(self.halves)
+                node[made] = len(names)
                 names.append(made)
-                self.halves.append((node[a], node[b]))
-            self.merge.setdefault((node[a], node[b]), node[made])
-        self.id_of = [vocab[n] for n in names]
-        self.length = [len(n) for n in names]
-        self._automaton([as_bytes(n) for n in names])
+                halves.extend((node[a], node[b]))
+            pairs.extend((node[a], node[b], node[made]))
+        ids, length = array("i", [vocab[n] for n in names]), array("i", map(len, names))
+        spelled = bytes(to_byte[c] for n in names for c in n)
+        known = {s for s in vocab if s not in self.added}
+        more = {vocab[s]: bytes(to_byte[c] for c in s) for s in known - set(names)}
+        # the file's own objects go before the tables are made, else they would be scattered among them
+        del spec, model, vocab, names, node, known
+        self.id_of, self.length = ids.tolist(), length.tolist()
+        self.halves = halves
+        self.merge: dict[int, int] = {}
+        for k in range(0, len(pairs), 3):
+            self.merge.setdefault(pairs[k] << 20 | pairs[k + 1], pairs[k + 2])
+        ends = [0, *accumulate(length)]
+        words = [spelled[i:j] for i, j in zip(ends, ends[1:])]
+        self.text_of = dict(zip(self.id_of, words)) | more | {i: s.encode() for s, i in self.added.items()}
+        self._automaton(words)
         self.fits: dict[int, bool] = {}
         self.goto: dict[int, int] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
@@ -81,25 +90,26 @@ class ByteBPE:
 
     def _automaton(self, words: list[bytes]) -> None:
         """A trie of the tokens with failure links; ends[state]: the tokens that end there, longest first."""
-        step: list[dict[int, int]] = [{}]
-        own = [-1]
+        step: dict[int, int] = {}  # state << 8 | byte -> state
+        own, below = array("i", [-1]), [b""]
         for number, word in enumerate(words):
             at = 0
             for b in word:
-                if b not in step[at]:
-                    step[at][b] = len(step)
-                    step.append({})
+                if (to := step.get(at << 8 | b)) is None:
+                    to = step[at << 8 | b] = len(own)
                     own.append(-1)
-                at = step[at][b]
+                    below.append(b"")
+                    below[at] += bytes((b,))
+                at = to
             own[at] = number
-        fail, ends, queue = [0] * len(step), [()] * len(step), list(step[0].values())
+        fail, ends, queue = array("i", bytes(4 * len(own))), [()] * len(own), array("i", [step[b] for b in below[0]])
         for at in queue:
-            ends[at] = ((own[at],) if own[at] >= 0 else ()) + ends[fail[at]]
-            for b, to in step[at].items():
-                back = fail[at]
-                while back and b not in step[back]:
+            ends[at] = (own[at], *ends[fail[at]]) if own[at] >= 0 else ends[fail[at]]
+            for b in below[at]:
+                back, to = fail[at], step[at << 8 | b]
+                while back and back << 8 | b not in step:
                     back = fail[back]
-                fail[to] = step[back].get(b, 0) if at else 0
+                fail[to] = step.get(back << 8 | b, 0)
                 queue.append(to)
         self.step, self.fail, self.ends = step, fail, ends
 
@@ -112,27 +122,27 @@ class ByteBPE:
 
     def _next(self, state: int, b: int) -> int:
         at = state
-        while at and b not in self.step[at]:
+        while at and at << 8 | b not in self.step:
             at = self.fail[at]
         if len(self.goto) >= SEAMS:
             self.goto.clear()
-        to = self.goto[state << 8 | b] = self.step[at].get(b, 0)
+        to = self.goto[state << 8 | b] = self.step.get(at << 8 | b, 0)
         return to
 
     def _seam_holds(self, left: int, right: int) -> bool:
         # ``before``: a merge over the seam counts only if its rank is lower than this one's
-        before = len(self.halves)
+        before = len(self.length)
         while True:
-            over = self.merge.get((left, right))
+            over = self.merge.get(left << 20 | right)
             if over is not None and over < before:
                 return False
             if left < 256 and right < 256:
                 return True
             # undo the later merge; of equal tokens the right one, since BPE merges from the left
             if left > right:
-                before, left = left, self.halves[left][1]
+                before, left = left, self.halves[2 * left + 1]
             else:
-                before, right = right + 1, self.halves[right][0]
+                before, right = right + 1, self.halves[2 * right]
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         goto, fits, ends, length, state, end = self.goto.get, self.fits.get, self.ends, self.length, 0, 0

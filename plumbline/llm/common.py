@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -116,6 +117,8 @@ def give_back() -> None:
     """Return freed memory to the system: Python workers wait for other tasks and are not ended meanwhile."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is free within its heap
+        trim(0)
 
 
 def chunks(batches, limit: int, size=lambda row: len(row[1])):
