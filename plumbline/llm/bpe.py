@@ -32,8 +32,11 @@ from .common import give_back
 
 #: Fixed value: the split pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: What a worker remembers at most: ids of words between spaces, ids of pieces, tests of neighbours. Longer ones aren't kept.
-WORDS, PIECES, SEAMS, LONGEST = 200_000, 100_000, 200_000, 64
+#: What a worker remembers at most: ids of words between spaces, ids of pieces, tests of neighbours, beginnings of pieces.
+#: Longer ones aren't kept.
+WORDS, PIECES, SEAMS, HEADS, LONGEST = 200_000, 100_000, 200_000, 50_000, 64
+#: Bytes of a beginning: pieces that share it share its states and last tokens.
+HEAD = 5
 
 
 _WIDE = regex.compile(r" \s|\s ").search
@@ -85,6 +88,8 @@ class ByteBPE:
         self.goto: dict[int, int] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.heads: dict[bytes, tuple[int, list[int]]] = {}
+        self.decimal = [str(i) for i in range(max(self.text_of) + 1)]
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
 
@@ -144,10 +149,10 @@ class ByteBPE:
             else:
                 before, right = right + 1, self.halves[2 * right]
 
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        goto, fits, ends, length, state, end = self.goto.get, self.fits.get, self.ends, self.length, 0, 0
-        last: list[int] = []
-        for b in piece:
+    def _extend(self, last: list[int], state: int, more: bytes) -> int:
+        """Append to ``last`` the last token of each prefix that ends in ``more``; the automaton's state after it."""
+        goto, fits, ends, length, add, end = self.goto.get, self.fits.get, self.ends, self.length, last.append, len(last)
+        for b in more:
             end += 1
             if (to := goto(state << 8 | b)) is None:
                 to = self._next(state, b)
@@ -160,14 +165,33 @@ class ByteBPE:
                         fit = self.may_follow(left, token)
                     if not fit:
                         continue
-                last.append(token)
+                add(token)
                 break
-        out, at = [], len(piece)
+        return state
+
+    def _new_head(self, head: bytes) -> tuple[int, list[int]]:
+        last: list[int] = []
+        if len(self.heads) >= HEADS:
+            self.heads.clear()
+        kept = self.heads[head] = self._extend(last, 0, head), last
+        return kept
+
+    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
+        if len(piece) > HEAD:
+            head = piece[:HEAD]
+            state, known = self.heads.get(head) or self._new_head(head)
+            last = known.copy()
+            self._extend(last, state, piece[HEAD:])
+        else:
+            last = []
+            self._extend(last, 0, piece)
+        out, at, id_of, length = [], len(piece), self.id_of, self.length
         while at:
             token = last[at - 1]
-            out.append(self.id_of[token])
+            out.append(id_of[token])
             at -= length[token]
-        return tuple(reversed(out))
+        out.reverse()
+        return tuple(out)
 
     def _new_piece(self, piece: str) -> tuple[int, ...]:
         ids = self.encode_piece(piece.encode())
@@ -182,7 +206,8 @@ class ByteBPE:
         return tuple(chain.from_iterable([known(p) or new(p) for p in self.split(text)]))
 
     def _new_word(self, word: str) -> tuple[int, ...]:
-        ids = self._run(" " + word)
+        # letters alone with their space are one piece
+        ids = self.encode_piece((" " + word).encode()) if word.isalpha() else self._run(" " + word)
         if len(word) <= LONGEST:
             if len(self.words) >= WORDS:
                 self.words.clear()
@@ -223,7 +248,7 @@ def _as_rows(path: str, text: str, digest: bool):
                 counts = pa.array([len(i) for i in ids], pa.int64())
                 if digest:
                     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                    more = [counts, pa.array([sha(",".join(map(str, i))) for i in ids]), pa.array([sha(bpe.decode(i)) for i in ids])]
+                    more = [counts, pa.array([sha(",".join(map(bpe.decimal.__getitem__, i))) for i in ids]), pa.array([sha(bpe.decode(i)) for i in ids])]
                     cols = [part.column(k) for k in range(part.num_columns) if k != at]
                     names = [n for n in part.schema.names if n != text]
                     yield pa.RecordBatch.from_arrays(cols + more, names + ["n_tokens", "ids_sha256", "decoded_sha256"])
