@@ -19,6 +19,7 @@ repeated rows need nothing special. Texts are handled whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from array import array
@@ -34,9 +35,9 @@ from .common import give_back
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a worker remembers at most: ids of words between spaces, ids of pieces, tests of neighbours, beginnings of pieces.
 #: Longer ones aren't kept.
-WORDS, PIECES, SEAMS, HEADS, LONGEST = 200_000, 100_000, 200_000, 50_000, 64
+WORDS, PIECES, SEAMS, HEADS, LONGEST = 200_000, 100_000, 200_000, 100_000, 64
 #: Bytes of a beginning: pieces that share it share its states and last tokens.
-HEAD = 5
+HEAD = 6
 
 
 _WIDE = regex.compile(r" \s|\s ").search
@@ -238,6 +239,14 @@ class ByteBPE:
 
 def _as_rows(path: str, text: str, digest: bool):
     def run(batches):
+        gc.disable()  # nothing here makes cycles; the collector would walk what is remembered again and again
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()
+            give_back()
+
+    def encoded(batches):
         bpe = None  # made for this partition only: workers that wait for other tasks hold no tables
         for batch in batches:
             bpe = bpe or ByteBPE(path)
@@ -255,8 +264,6 @@ def _as_rows(path: str, text: str, digest: bool):
                 else:
                     more = [pa.array(ids, pa.list_(pa.int32())), counts]
                     yield pa.RecordBatch.from_arrays([*part.columns, *more], part.schema.names + ["token_ids", "n_tokens"])
-        bpe = batch = part = ids = more = None
-        give_back()
 
     return run
 
