@@ -33,11 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, chunks, covered, mixed, release, second_windows, stored, windows, word_ids
+from .common import U64, WordHash, chunks, covered, give_back, mixed, release, second_windows, stored, windows, word_ids
 
 WINDOW, BLOCK = 20, 10
 #: Bytes of text in a chunk, and words for each bucket.
 CHUNK, WORDS_PER_BUCKET = 6_000_000, 2_500_000
+#: Entries at most in a piece of what a chunk settles itself.
+PIECE = 100_000
 NULL_ID = -(1 << 63)
 
 
@@ -76,7 +78,7 @@ def _packed(doc_key: np.ndarray, doc: np.ndarray, pos: np.ndarray, *columns: np.
 
 
 def _unpacked(blob: bytes, key_width: int, *kinds) -> tuple:
-    """Keys (one row for each entry), positions, further columns."""
+    """Keys of the texts, the text of each entry, positions, further columns."""
     docs, n, wide = struct.unpack_from("<IIB", blob)
     at = 9
     keys = np.frombuffer(blob, np.int64, docs * key_width, at).reshape(docs, key_width)
@@ -92,7 +94,31 @@ def _unpacked(blob: bytes, key_width: int, *kinds) -> tuple:
     for kind in kinds:
         out.append(np.frombuffer(blob, kind, n, at))
         at += out[-1].nbytes
-    return (np.repeat(keys, counts, axis=0), sums - np.repeat(base, counts), *out)
+    return (keys, np.repeat(np.arange(docs, dtype=np.int32), counts), (sums - np.repeat(base, counts)).astype(np.int32), *out)
+
+
+def _joined(parts: list[tuple], key_width: int) -> list[np.ndarray]:
+    """Unpacked entries in one: distinct keys in order, the number of each entry's key, positions, further columns."""
+    if not parts:
+        return [np.empty((0, key_width), np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
+    keys = np.concatenate([p[0] for p in parts])
+    order = np.lexsort([keys[:, k] for k in range(key_width - 1, -1, -1)])
+    new = _new_docs(keys[order])
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new) - 1
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    who = np.concatenate([number[b + p[1]] for b, p in zip(base, parts)])
+    return [keys[order][new], who, *(np.concatenate(c) for c in zip(*(p[2:] for p in parts)))]
+
+
+def _settled(doc_key: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """Entries that need no bucket, in pieces that are spread over all: none gets a large share of them."""
+    out = []
+    for at in range(0, len(doc), PIECE):
+        d, p = doc[at : at + PIECE], pos[at : at + PIECE]
+        blob = b"\x01" + _packed(doc_key, d, p)
+        out.append((xxhash.xxh64_intdigest(blob) % n, blob))
+    return out
 
 
 def _table(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -118,7 +144,7 @@ def _probe(n_buckets: int):
     """(id, text) -> per bucket: hits found within the chunk, then the chunk's distinct 10-word windows."""
 
     def run(batches):
-        cache = WordHash()
+        cache = WordHash(200_000)
         for rows in chunks(batches, CHUNK, lambda r: len(r[1] or "")):
             doc_key = np.array([NULL_ID if r[0] is None else r[0] for r in rows], np.int64)
             flat, doc, start = _places([word_ids((r[1] or "").encode().split(), cache) for r in rows], BLOCK)
@@ -145,8 +171,10 @@ def _probe(n_buckets: int):
                 out.append((b, b"\x00" + _packed(doc_key, doc[e], pos[e], keys[e].astype(np.uint32), flags[some])))
             local = np.sort(order[again])
             if len(local):  # settled here; any bucket passes them on
-                out.append((int(local[0]) % n_buckets, b"\x01" + _packed(doc_key, doc[local], pos[local])))
+                out.extend(_settled(doc_key, doc[local], pos[local], n_buckets))
             yield _table(out)
+        cache = rows = flat = doc = keys = out = None
+        give_back()
 
     return run
 
@@ -159,19 +187,18 @@ def _new_docs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))
 
 
-def _dealt(done: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Table:
+def _dealt(done: list[tuple], n: int, key_width: int) -> pa.Table:
     """Places of texts, packed for ``n`` parts of the texts: as many rows at most."""
-    keys = np.concatenate([d[0] for d in done]) if done else np.empty((0, 1), np.int64)
-    pos = np.concatenate([d[1] for d in done]) if done else np.empty(0, np.int64)
+    names, who, pos = _joined(done, key_width)
     rows = []
     if len(pos):
-        part = (mixed(keys[:, 0].astype(U64)) % U64(n)).astype(np.int64)
-        order = np.lexsort((pos, *(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)), part))
-        keys, pos, part = keys[order], pos[order], part[order]
-        new = _new_docs(keys)
-        doc, names = np.cumsum(new) - 1, keys[new]
-        ends = np.append(np.nonzero(np.concatenate(([True], part[1:] != part[:-1])))[0], len(part))
-        rows = [(int(part[x]), _packed(names, doc[x:y], pos[x:y])) for x, y in zip(ends, ends[1:])]
+        part = (mixed(names[:, 0].astype(U64)) % U64(n)).astype(np.int32)
+        order = np.lexsort((pos, who, part[who]))
+        who, pos = who[order], pos[order]
+        of = part[who]
+        ends = np.append(np.nonzero(np.concatenate(([True], of[1:] != of[:-1])))[0], len(of))
+        rows = [(int(of[x]), _packed(names, who[x:y], pos[x:y].astype(np.int64))) for x, y in zip(ends, ends[1:])]
+    give_back()
     return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=PARTS)
 
 
@@ -179,14 +206,12 @@ def _gathered(names: list[str]):
     """One part's blobs to a row for each text."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = [_unpacked(blob, len(names)) for blob in table.column("blob").to_pylist()]
-        keys, pos = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-        order = np.lexsort((pos, *(keys[:, k] for k in range(len(names) - 1, -1, -1))))
-        keys, pos = keys[order], pos[order].astype(np.uint32)
-        first = np.nonzero(_new_docs(keys))[0]
-        ends = np.append(first, len(pos))[1:]
-        made = pa.array([pos[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())
-        return pa.Table.from_arrays([*(pa.array(keys[first, k]) for k in range(len(names))), made], [*names, "places"])
+        keys, who, pos = _joined([_unpacked(b.as_py(), len(names)) for b in table.column("blob")], len(names))
+        order = np.lexsort((pos, who))
+        who, pos = who[order], pos[order].astype(np.uint32)
+        ends = np.searchsorted(who, np.arange(len(keys) + 1))
+        made = pa.array([pos[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+        return pa.Table.from_arrays([*(pa.array(keys[:, k]) for k in range(len(names))), made], [*names, "places"])
 
     return run
 
@@ -200,29 +225,31 @@ def _meet(entries: DataFrame, settle, n: int, names: list[str]) -> DataFrame:
 
 def _hits(table: pa.Table, n: int) -> pa.Table:
     """One bucket's entries to the places of hits."""
-    keys, poss, rems, flags, done = [], [], [], [], []
-    for blob in table.column("blob").to_pylist():
+    fresh, done = [], []
+    for value in table.column("blob"):
+        blob = value.as_py()
         if blob[0]:
             done.append(_unpacked(blob[1:], 1))
         else:
-            k, p, r, f = _unpacked(blob[1:], 1, np.uint32, np.uint8)
-            keys.append(k), poss.append(p), rems.append(r), flags.append(f)
-    if rems:
-        rem, flag = np.concatenate(rems), np.concatenate(flags)
+            fresh.append(_unpacked(blob[1:], 1, np.uint32, np.uint8))
+    if fresh:
+        names, who, pos, rem, flag = _joined(fresh, 1)
+        del fresh
         order = np.argsort(rem, kind="stable")
         again, first = _repeated(rem, order)
         group = np.cumsum(first) - 1
         anchored = np.bincount(group, weights=(flag & 1)[order]) > 0
         hit = np.sort(order[again & anchored[group]])
-        done.append((np.concatenate(keys)[hit], np.concatenate(poss)[hit]))
-    return _dealt(done, n)
+        done.append((names, who[hit], pos[hit]))
+        del names, who, pos, rem, flag, order, again, first, group, anchored, hit
+    return _dealt(done, n, 1)
 
 
 def _candidates(n_buckets: int):
     """(key, text, hits) -> per bucket: repeats found within the chunk, then the 20-word windows that hold a hit."""
 
     def run(batches):
-        cache = WordHash()
+        cache = WordHash(200_000)
         for rows in chunks(batches, CHUNK, lambda r: len(r[1] or "")):
             texts = [(r[1] or "").encode() for r in rows]
             order = [(r[0], text_key(t)) for r, t in zip(rows, texts)]
@@ -253,30 +280,36 @@ def _candidates(n_buckets: int):
                 x = lone[some]
                 out.append((b, b"\x00" + _packed(doc_key, doc[x], pos[x], keys[x], more[x])))
             if len(gone):
-                out.append((int(gone[0]) % n_buckets, b"\x01" + _packed(doc_key, doc[gone], pos[gone])))
+                out.extend(_settled(doc_key, doc[gone], pos[gone], n_buckets))
             yield _table(out)
+        cache = rows = flat = doc = keys = out = None
+        give_back()
 
     return run
 
 
 def _later(table: pa.Table, n: int) -> pa.Table:
     """One bucket's windows to the places of those that aren't the first of their key."""
-    keys, poss, hashes, mores, done = [], [], [], [], []
-    for blob in table.column("blob").to_pylist():
+    fresh, done = [], []
+    for value in table.column("blob"):
+        blob = value.as_py()
         if blob[0]:
             done.append(_unpacked(blob[1:], 2))
         else:
-            k, p, h, m = _unpacked(blob[1:], 2, np.uint64, np.uint32)
-            keys.append(k), poss.append(p), hashes.append(h), mores.append(m)
-    if hashes:
-        key, pos, h, m = np.concatenate(keys), np.concatenate(poss), np.concatenate(hashes), np.concatenate(mores)
-        order = np.lexsort((pos, key[:, 1], key[:, 0], m, h))
+            fresh.append(_unpacked(blob[1:], 2, np.uint64, np.uint32))
+    if fresh:
+        names, who, pos, h, m = _joined(fresh, 2)
+        del fresh
+        order = np.lexsort((pos, who, m, h))
         h, m = h[order], m[order]
-        group = np.cumsum(np.concatenate(([True], (h[1:] != h[:-1]) | (m[1:] != m[:-1])))) - 1
-        first = order[np.searchsorted(group, group)]  # the first place of each one's key; equal rows share it
-        later = order[(key[order] != key[first]).any(1) | (pos[order] != pos[first])]
-        done.append((key[later], pos[later]))
-    return _dealt(done, n)
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (m[1:] != m[:-1])))
+        del h, m
+        who, pos = who[order], pos[order]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))  # the first place of each one's key
+        later = (who != who[first]) | (pos != pos[first])  # equal rows share it
+        done.append((names, who[later], pos[later]))
+        del names, who, pos, order, new, first, later
+    return _dealt(done, n, 2)
 
 
 def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
