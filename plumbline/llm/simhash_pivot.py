@@ -15,6 +15,13 @@ of the free 16 bits instead, which is linear. A file yields the edges of a spann
 
 Components of the forests' union come from alternating star contractions over the distinct fingerprints.
 
+``representatives`` keeps one row of each group that links of similarity 0.8 or more form: exact Jaccard of the sets of
+5-word shingles. No number of differing bits follows from a similarity, so fingerprints of five words and their links
+only give the first pairs to verify, which unite large groups at little cost. The rest come from an exact join, which
+loses no pair: in one order of all shingles, the first ``n - ceil(0.8 n) + 1`` of two such sets of n have one in
+common. The order puts shingles last that are frequent in a sample; any order gives the same pairs, this one keeps the
+files of shingles small. Pairs that are already in one group aren't verified again.
+
 Defined cases: null or empty text has the fingerprint 0, linked like any other; texts of one or two words have one
 shingle, the whole sequence; rows repeated with one id are one document with several fingerprints; an empty table
 gives an empty result; other columns are not used; texts are handled whole.
@@ -30,28 +37,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, stored
+from .common import WordHash, give_back, release, slices, stored, windows, word_ids
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BANDS, BAND_BITS = 8, 8
 LARGE = 128
+#: Near copies: words of a shingle, and the least Jaccard similarity as a fraction.
+NEAR_SHINGLE, NEAR = 5, (4, 5)
+#: For the order of shingles alone: texts of the sample, texts of these that make a shingle frequent, frequent shingles at most.
+ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 200_000
 #: Reference fingerprints: ends of bit blocks (fixed, by rule) so that coordinates are bit counts of half the bits.
 PIVOTS = [0, *(sum(1 << i for i in range(64) if i >> k & 1) for k in range(6)), *(sum(1 << i for i in range(64) if (i >> j ^ i >> k) & 1) for j, k in combinations(range(6), 2))]
 #: The choices of the bands that are left out.
 CHOICES = list(combinations(range(BANDS), RADIUS))
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode().lower().split()  # bytes.lower() changes A-Z alone
     if not words:
         return 0
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return _majority(xxhash.xxh64_digest(joined, SEED), 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_digest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())]
+    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())]
     return _majority(b"".join(hashes), len(hashes))
 
 
@@ -222,7 +233,157 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, cache: WordHash, k: int = NEAR_SHINGLE) -> np.ndarray:
+    """Hashes of a text's different shingles, sorted; a text of fewer words has one, all of it."""
+    words = (text or "").encode().lower().split()
+    return np.unique(windows(word_ids(words, cache), min(k, len(words)))) if words else np.empty(0, np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * NEAR[1] >= NEAR[0] * (len(a) + len(b) - both)
+
+
+def prefix_length(n: int) -> int:
+    """So many shingles of a set of ``n``, in any common order, meet those of every similar set."""
+    return n - -(-n * NEAR[0] // NEAR[1]) + 1 if n else 0
+
+
+def frequent_shingles(texts: DataFrame) -> np.ndarray:
+    """``texts`` (text_key, text) -> shingles that are frequent in a sample of different texts, the most frequent last."""
+    share = max(1, texts.count() // ORDER_SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(share)) == 0).dropDuplicates(["text_key"])
+
+    def run(batches):
+        cache = WordHash(200_000)
+        for batch in chain.from_iterable(map(slices, batches)):
+            sets = [shingle_set(t, cache) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+        give_back()
+
+    counts = some.select("text_key", "text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    got = counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
+    return got.column("shingle").to_numpy().view(np.uint64)[::-1].copy()
+
+
+def shingle_marks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``texts`` (doc_id, text_key, text) -> doc_id, text_key, fp, sig (hash of the set), n (its size) and its first
+    shingles in the common order, for each row."""
+    rank = np.argsort(frequent)
+    names = frequent[rank]
+
+    def run(batches):
+        cache = WordHash(200_000)
+        for batch in chain.from_iterable(map(slices, batches)):
+            fps, sigs, sizes, firsts = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                own = shingle_set(text, cache)
+                late = np.zeros(len(own), np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                    late = np.where(names[at] == own, rank[at] + 1, 0)
+                fps.append(fingerprint(text, NEAR_SHINGLE))
+                sigs.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                firsts.append(own[np.argsort(late, kind="stable")[: prefix_length(len(own))]].tobytes())
+            long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(fps), long(sigs), long(sizes), pa.array(firsts, pa.binary())], ["doc_id", "text_key", "fp", "sig", "n", "firsts"])
+        give_back()
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long, sig long, n long, firsts binary")
+
+
+def _entries(batches):
+    """(sig, root, n, firsts) -> a row for each of the first shingles, with its place."""
+    for batch in chain.from_iterable(map(slices, batches)):
+        firsts = [np.frombuffer(b, np.int64) for b in batch.column(3).to_pylist()]
+        count = [len(x) for x in firsts]
+        spread = [np.repeat(batch.column(k).to_numpy(), count) for k in range(3)]
+        place = np.concatenate([np.arange(c) for c in count])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *map(pa.array, spread), pa.array(place.astype(np.int64))], ["shingle", "sig", "root", "n", "place"])
+    give_back()
+
+
+def _meetings(batches):
+    """(shingle, sig, root, n, place), sorted by shingle and n -> pairs of sets that may be similar, of different roots."""
+    held: pa.Table | None = None
+
+    def pairs(table):
+        key, sig, root, n, place = (c.to_numpy() for c in table.columns)
+        alive, lag = np.nonzero(key[:-1] == key[1:])[0], 1
+        while len(alive):
+            a, b = alive, alive + lag
+            alive = alive[n[a] * NEAR[1] >= n[b] * NEAR[0]]  # sizes grow with the lag
+            a, b = alive, alive + lag
+            # where this is the first shingle they share, at most so many are; elsewhere the first one's file has the pair
+            most = np.minimum(n[a] - place[a], n[b] - place[b])
+            may = (root[a] != root[b]) & (most * (NEAR[0] + NEAR[1]) >= NEAR[0] * (n[a] + n[b]))
+            if may.any():
+                x, y = sig[a[may]], sig[b[may]]
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            lag += 1
+            alive = alive[alive + lag < len(key)]
+            alive = alive[key[alive] == key[alive + lag]]
+
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        key = held.column(0).to_numpy()
+        cut = np.nonzero(key != key[-1])[0]  # the last file may go on
+        if len(held) >= 50_000 and len(cut):
+            yield from pairs(held.slice(0, int(cut[-1]) + 1))
+            held = held.slice(int(cut[-1]) + 1)
+    if held is not None and len(held):
+        yield from pairs(held)
+    give_back()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b: sig) whose whole texts are similar. ``sets``: sig and text_key of one text that has it."""
+    pairs = stored(pairs.where("a <> b").distinct(), "near-pairs")
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", F.col("text_key").alias("_key")), "sig")
+    whole = texts.select("text_key", "text").join(wanted, F.col("text_key") == F.col("_key")).groupBy("sig").agg(F.first("text").alias("text"))
+    whole = stored(whole, "near-texts")
+    left, right = whole.select(F.col("sig").alias("a"), F.col("text").alias("x")), whole.select(F.col("sig").alias("b"), F.col("text").alias("y"))
+
+    def run(batches):
+        cache = WordHash(200_000)
+        for batch in chain.from_iterable(map(slices, batches)):
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [similar(shingle_set(s, cache), shingle_set(t, cache)) for s, t in zip(x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
+
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_key and root (what the rows of a group have in common) for every row: groups by exact similarity."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    marks = stored(shingle_marks(texts, frequent_shingles(texts)), "near-marks")
+    sets = stored(marks.groupBy("sig").agg(F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("firsts").alias("firsts")), "near-sets")
+    # what fingerprints link, by the least set of each fingerprint
+    least = stored(sets.groupBy("fp").agg(F.min("sig").alias("low")), "near-fingerprints")
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))
+    first = sets.join(least, "fp").select(F.col("sig").alias("a"), F.col("low").alias("b"))
+    first = first.unionByName(links(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
+    known = verified(first, sets, texts)
+    release(docs.sparkSession)
+    # all other similar pairs
+    rooted = sets.join(components(known).withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", "firsts")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = rooted.mapInArrow(_entries, "shingle long, sig long, root long, n long, place long")
+    met = entries.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "sig").mapInArrow(_meetings, "a long, b long")
+    known = known.unionByName(verified(met, sets, texts))
+    release(docs.sparkSession)
+    roots = components(known).withColumnRenamed("node", "sig")
+    return marks.select("doc_id", "text_key", "sig").join(roots, "sig", "left").select("doc_id", "text_key", F.coalesce("root", "sig").alias("root"))
+
+
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of the smallest id of each component; of rows with that id and equal fingerprints, one."""
-    first = near_duplicates(docs, doc_id, text).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_first")).distinct()
+    """The row of the smallest id of each group of near copies; of rows with that id, one."""
+    copies = near_copies(docs, doc_id, text)
+    first = copies.join(copies.groupBy("root").agg(F.min("doc_id").alias("_first")), "root").where("doc_id = _first OR doc_id IS NULL").select(F.col("doc_id").alias("_first")).distinct()
     return docs.join(first, F.col(doc_id).eqNullSafe(F.col("_first")), "left_semi").dropDuplicates([doc_id])

@@ -260,6 +260,35 @@ def test_simhash_components(spark, docs, rows, empty):
     assert kept.columns == docs.columns and simhash_pivot.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_are_one(spark):
+    rng = random.Random(8)
+    shared = " ".join(f"s{k}" for k in range(40))
+    texts = []
+    for _ in range(25):
+        w = [f"v{rng.randrange(500)}" for _ in range(rng.randrange(30, 160))]
+        for edits in (0, 0, 1, 2, 3, 6):
+            x = list(w)
+            for _ in range(edits):
+                x[rng.randrange(len(x))] = f"e{rng.random()}"
+            texts.append(" ".join(x) + (" " + shared if len(texts) % 3 else ""))
+    texts += ["a b", "A b", "a c", "", None, "one two three four five six"]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (words((t or "").lower()) for t in texts)]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        if label[i] == i:
+            queue = [i]
+            for a in queue:
+                for b in range(len(texts)):
+                    if label[b] > i and alike(sets[a], sets[b]):
+                        label[b] = i
+                        queue.append(b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash_pivot.representatives(df).collect()} == set(label)
+    wide = sum(label[b] == label[a] and (simhash_pivot.fingerprint(texts[a]) ^ simhash_pivot.fingerprint(texts[b])).bit_count() > 2 for b in range(len(texts)) for a in range(b))
+    assert wide > 20  # what two bits of 3-word fingerprints don't link
+
+
 def test_large_files_of_fingerprints():
     rng = np.random.default_rng(4)
     free = np.unique(rng.integers(0, 1 << 16, 2000)).astype(np.uint64)
