@@ -383,7 +383,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of the smallest id of each group of near copies; of rows with that id, one."""
-    copies = near_copies(docs, doc_id, text)
-    first = copies.join(copies.groupBy("root").agg(F.min("doc_id").alias("_first")), "root").where("doc_id = _first OR doc_id IS NULL").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col(doc_id).eqNullSafe(F.col("_first")), "left_semi").dropDuplicates([doc_id])
+    """One row of each group of near copies: that of the smallest id (null ids last), then of the least text hash; of rows
+    equal in both, one. Rows without an id, or with one id and different texts, are documents of their own."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_first"), F.col("text_key").alias("_text_key"))
+    first = near_copies(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("r")).select("r._first", "r._text_key")
+    rows = docs.withColumn("_key", F.xxhash64(text))
+    kept = rows.join(first, F.col(doc_id).eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_text_key")), "left_semi")
+    return kept.dropDuplicates([doc_id, "_key"]).drop("_key")

@@ -289,6 +289,13 @@ def test_near_copies_are_one(spark):
     assert wide > 20  # what two bits of 3-word fingerprints don't link
 
 
+def test_rows_without_an_id_are_documents(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    data = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("c")), (7, text("d")), (8, text("d")), (9, text("d") + " e")]
+    kept = simhash_pivot.representatives(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d"))], key=str)
+
+
 def test_large_files_of_fingerprints():
     rng = np.random.default_rng(4)
     free = np.unique(rng.integers(0, 1 << 16, 2000)).astype(np.uint64)
