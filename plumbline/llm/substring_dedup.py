@@ -9,7 +9,7 @@ end to end in every text, are the anchors: a repeat of 20 words or more always h
 2. Extend. Hits grow to the words around them: only 20-word windows that hold a hit can be repeats. Each gets a
    96-bit key of its words and the first place of each key stays; the union of the others, window by window, is
    every maximal repeat, exactly.
-3. Remove. Places go back to their texts by id, and the kept words are joined.
+3. Remove. Places go back to their texts by id and text hash, as hits do, and the kept words are joined.
 
 A passage that a third of all texts share sends one entry for each chunk of texts (about a million words), not for each text:
 repeats within a chunk are settled there. The number of buckets follows the number of words, so neither a bucket nor
@@ -146,8 +146,9 @@ def _probe(n_buckets: int):
     def run(batches):
         cache = WordHash(200_000)
         for rows in chunks(batches, CHUNK, lambda r: len(r[1] or "")):
-            doc_key = np.array([NULL_ID if r[0] is None else r[0] for r in rows], np.int64)
-            flat, doc, start = _places([word_ids((r[1] or "").encode().split(), cache) for r in rows], BLOCK)
+            texts = [(r[1] or "").encode() for r in rows]
+            doc_key = np.array([(NULL_ID if r[0] is None else r[0], text_key(t)) for r, t in zip(rows, texts)], np.int64).reshape(-1, 2)
+            flat, doc, start = _places([word_ids(t.split(), cache) for t in texts], BLOCK)
             keys = windows(flat, BLOCK)
             if not len(keys):
                 continue
@@ -173,7 +174,7 @@ def _probe(n_buckets: int):
             if len(local):  # settled here; any bucket passes them on
                 out.extend(_settled(doc_key, doc[local], pos[local], n_buckets))
             yield _table(out)
-        cache = rows = flat = doc = keys = out = None
+        cache = rows = texts = flat = doc = keys = out = None
         give_back()
 
     return run
@@ -192,7 +193,7 @@ def _dealt(done: list[tuple], n: int, key_width: int) -> pa.Table:
     names, who, pos = _joined(done, key_width)
     rows = []
     if len(pos):
-        part = (mixed(names[:, 0].astype(U64)) % U64(n)).astype(np.int32)
+        part = (mixed(names[:, 0].astype(U64) ^ mixed(names[:, 1].astype(U64))) % U64(n)).astype(np.int32)  # many texts may lack an id
         order = np.lexsort((pos, who, part[who]))
         who, pos = who[order], pos[order]
         of = part[who]
@@ -229,11 +230,11 @@ def _hits(table: pa.Table, n: int) -> pa.Table:
     for value in table.column("blob"):
         blob = value.as_py()
         if blob[0]:
-            done.append(_unpacked(blob[1:], 1))
+            done.append(_unpacked(blob[1:], 2))
         else:
-            fresh.append(_unpacked(blob[1:], 1, np.uint32, np.uint8))
+            fresh.append(_unpacked(blob[1:], 2, np.uint32, np.uint8))
     if fresh:
-        names, who, pos, rem, flag = _joined(fresh, 1)
+        names, who, pos, rem, flag = _joined(fresh, 2)
         del fresh
         order = np.argsort(rem, kind="stable")
         again, first = _repeated(rem, order)
@@ -242,7 +243,7 @@ def _hits(table: pa.Table, n: int) -> pa.Table:
         hit = np.sort(order[again & anchored[group]])
         done.append((names, who[hit], pos[hit]))
         del names, who, pos, rem, flag, order, again, first, group, anchored, hit
-    return _dealt(done, n, 1)
+    return _dealt(done, n, 2)
 
 
 def _candidates(n_buckets: int):
@@ -318,10 +319,10 @@ def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     n = buckets_for(docs, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_key"), F.col(text).alias("text"))
     probes = rows.mapInArrow(_probe(n), "bucket int, blob binary")
-    hits = stored(_meet(probes, _hits, n, ["doc_key"]).withColumnRenamed("places", "hits"), "anchor-hits")
+    hits = stored(_meet(probes, _hits, n, ["doc_key", "text_key"]).withColumnRenamed("places", "hits"), "anchor-hits")
     del probes
     release(spark)
-    near = rows.withColumn("doc_key", F.coalesce("doc_key", F.lit(NULL_ID))).join(hits, "doc_key").select("doc_key", "text", "hits")
+    near = rows.withColumns({"doc_key": F.coalesce("doc_key", F.lit(NULL_ID)), "text_key": F.xxhash64("text")}).join(hits, ["doc_key", "text_key"]).select("doc_key", "text", "hits")
     found = near.mapInArrow(_candidates(n), "bucket int, blob binary")
     out = stored(_meet(found, _later, n, ["doc_key", "text_key"]), "repeats")
     del found, near, hits

@@ -71,6 +71,24 @@ def test_substring_dedup_of_repeated_rows(spark):
     assert sorted(r.n_removed for r in substring_dedup.dedup_substrings(df).collect()) == [0, 0, 0, 30]
 
 
+def test_substring_dedup_of_texts_that_share_an_id(spark):
+    line = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    long = line("z", 300) + " " + line("p", 40)
+    data = [(1, line("p", 40)), (1, long), (9, "short " + line("y", 25)), (9, long + " end"), (None, "x y"), (None, line("y", 25)), (None, line("p", 40) + " z")]
+    got = {(r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).collect()}
+    order = sorted(data, key=lambda r: (substring_dedup.NULL_ID if r[0] is None else r[0], substring_dedup.text_key(r[1].encode())))
+    seen, want = set(), set()
+    for _, text in order:
+        w = words(text)
+        gone = [False] * len(w)
+        for p in range(len(w) - 19):
+            if (key := tuple(w[p : p + 20])) in seen:
+                gone[p : p + 20] = [True] * 20
+            seen.add(key)
+        want.add((len(w), sum(gone)))
+    assert got == want
+
+
 def test_line_rules(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(60)], "doc_id long, quality int, toxic int")
     out = {r.doc_id: r for r in line_crf.quality_rules(docs, line_crf.trained_field(docs, labels)).collect()}
