@@ -116,9 +116,12 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def believed(marks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The unseeded tokens (value) that confident patterns extract: bootstrapping on the graph of patterns and tokens."""
+    """Values that are spans where base patterns miss them: those that confident patterns extract, by bootstrapping on the
+    graph of patterns and tokens, and seeds that occur elsewhere without a base span."""
     t = marks.where(F.size("tokens") > 0).select(F.explode("tokens").alias("t")).select("t.value", "t.left", "t.right", "t.seed")
-    seeds = t.groupBy("value").agg(F.max("seed").alias("seed"))
+    seeds = t.groupBy("value").agg(F.max("seed").alias("seed"), F.min("seed").alias("always"))
+    missed = seeds.where(F.col("seed") & ~F.col("always")).select("value")
+    seeds = seeds.select("value", "seed")
     edges = t.select("value", F.explode(F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"))).alias("pattern"))
     edges = edges.where(F.length("pattern") > 2).distinct().join(seeds, "value")
     # only patterns that seeds have induced matter
@@ -132,7 +135,7 @@ def believed(marks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         belief = edges.join(confident, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(doubt))).alias("b"))
         belief = stored(belief.select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("b")).alias("belief")), "pii-belief")
     fresh = belief.join(seeds.where(~F.col("seed")).select("value"), "value")
-    return fresh.where(F.col("belief") >= MIN_BELIEF).select("value")
+    return fresh.where(F.col("belief") >= MIN_BELIEF).select("value").unionByName(missed)
 
 
 def all_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

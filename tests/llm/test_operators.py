@@ -246,6 +246,12 @@ def test_contexts_discover(spark):
     assert cleaned[50] == "write to ssh [ID] today 😀" and cleaned[3] == "write to ssh [EMAIL] today" and cleaned[51] == df.where("doc_id = 51").first().text
 
 
+def test_seeds_are_spans_where_patterns_miss_them(spark):
+    data = [(1, "card 4845168114407329 ok"), (2, "7536784127813050 4845168114407329"), (3, "ring +1 (555) 000-1000 now"), (4, "or 000-1000 then")]
+    out = {r.doc_id: r.spans for r in contextual_pii.find_personal_data(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out == {1: "card:5:21", 2: "id:17:33", 3: "phone:5:22", 4: "id:3:11"}
+
+
 def test_many_matches_are_located(spark):
     text = " ".join(f"é{k}@m.example.com," for k in range(400))
     got = contextual_pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
