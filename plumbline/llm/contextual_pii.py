@@ -4,7 +4,7 @@ Base spans of four kinds come from fixed patterns. They are the seeds: the words
 seed are lexical patterns. Patterns and the identifier-shaped tokens (eight or more characters, four or more of them
 digits) that they enclose make a graph over the whole corpus. In each round a pattern's confidence is the share of its
 distinct tokens that are believed, shrunk by ``PRIOR`` unbelieved ones, and a token's belief is the noisy-or of its
-confident patterns; seeds stay at 1. Tokens believed at the end are spans of kind ``id``.
+confident patterns; seeds stay at 1. Beliefs never fall, and rounds go on until none rises. Tokens believed at the end are spans of kind ``id``.
 
 All text is read once; what is kept of it (spans and identifier-shaped tokens) is a small table in the shared folder, on which
 rounds run. A word that a third of all tokens follow is one group of distinct tokens, aggregated before the shuffle.
@@ -39,7 +39,9 @@ WHITE = r"\x20\x09-\x0D"
 TOKEN = rf"(?<![^{WHITE}])[^{WHITE}0-9@]*+[0-9@][^{WHITE}]*+"
 LEAD, TAIL = r"""^["'(<\[{]*""", r"""[.,;:!?"')>\]}]*$"""
 STRETCH, CONTEXT = 64, 80
-ROUNDS, PRIOR, MIN_SEEDS, MIN_CONFIDENCE, MIN_BELIEF = 3, 2.0, 3, 0.5, 0.7
+PRIOR, MIN_SEEDS, MIN_CONFIDENCE, MIN_BELIEF = 2.0, 3, 0.5, 0.7
+#: Rounds go on while a belief rises by more.
+SETTLED = 1e-9
 
 
 def _sum(lengths: Column) -> Column:
@@ -115,7 +117,7 @@ def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return df.select("doc_id", "text_key", "base", tokens.alias("tokens"))
 
 
-def believed(marks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def believed(marks: DataFrame) -> DataFrame:
     """Values that are spans where base patterns miss them: those that confident patterns extract, by bootstrapping on the
     graph of patterns and tokens, and seeds that occur elsewhere without a base span."""
     t = marks.where(F.size("tokens") > 0).select(F.explode("tokens").alias("t")).select("t.value", "t.left", "t.right", "t.seed")
@@ -128,12 +130,15 @@ def believed(marks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     induced = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("pattern")
     edges = stored(edges.join(induced, "pattern"), "pii-graph")
     belief = edges.select("value", F.col("seed").cast("double").alias("belief")).distinct()
-    for _ in range(rounds):
+    while True:
         weighed = edges.join(belief, "value")
         confident = weighed.groupBy("pattern").agg((F.sum("belief") / (F.count(F.lit(1)) + PRIOR)).alias("confidence"))
         doubt = F.log(1 - F.least(F.when(F.col("confidence") >= MIN_CONFIDENCE, F.col("confidence")).otherwise(0.0), F.lit(0.999999)))
-        belief = edges.join(confident, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(doubt))).alias("b"))
-        belief = stored(belief.select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("b")).alias("belief")), "pii-belief")
+        now = edges.join(confident, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(doubt))).alias("b"))
+        before, belief = belief, stored(now.select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("b")).alias("belief")), "pii-belief")
+        risen = belief.join(before.withColumnRenamed("belief", "was"), "value").agg(F.max(F.col("belief") - F.col("was"))).first()[0]
+        if risen is None or risen <= SETTLED:
+            break
     fresh = belief.join(seeds.where(~F.col("seed")).select("value"), "value")
     return fresh.where(F.col("belief") >= MIN_BELIEF).select("value").unionByName(missed)
 

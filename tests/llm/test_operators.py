@@ -252,6 +252,17 @@ def test_seeds_are_spans_where_patterns_miss_them(spark):
     assert out == {1: "card:5:21", 2: "id:17:33", 3: "phone:5:22", 4: "id:3:11"}
 
 
+def test_chains_of_contexts_are_followed_to_their_end(spark):
+    around = lambda k, x: f"before{'abcdefgh'[k]} {x} after{'abcdefgh'[k]}"
+    texts = [around(0, f"s{j}@x.example.org") for j in range(8)]
+    for k in range(8):
+        texts += [around(k, f"s{k}{j}@y.example.org") for j in range(4) if k]
+        texts += [around(at, f"U{k}X{j}-5555") for j in range(2) for at in (k, k + 1) if at < 8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in contextual_pii.find_personal_data(df).collect()}
+    assert all(out[i].startswith("id:") for i, t in enumerate(texts) if "-5555" in t)
+
+
 def test_many_matches_are_located(spark):
     text = " ".join(f"é{k}@m.example.com," for k in range(400))
     got = contextual_pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
