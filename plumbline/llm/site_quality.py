@@ -6,8 +6,8 @@ shrunk: a host's rate to the global one, a path's to its host's, each with the w
 that sparse sites stay near their parents. The document's odds are multiplied by the odds of its site against the
 global odds (its own share of the sums left out), and it is rejected if the posterior is above ``REJECT_ABOVE``.
 
-The classifier is fitted on at most ``SAMPLE`` labelled documents, taken in order of a hash of the id, with at most
-``SAMPLE_WORDS`` distinct words of each; sums cover all documents. Sites are grouped with partial aggregates, so a hot
+The classifier is fitted on at most ``SAMPLE`` labelled documents, taken in order of a hash of the id, with all
+their words; sums cover all documents. Sites are grouped with partial aggregates, so a hot
 host sends a row for each task; the site table is broadcast only if it has at most ``BROADCAST_SITES`` rows.
 
 Defined cases: null or empty text has the statistics of no words and is scored like any other; null host or path is a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, shared_dir, slices
 
-SAMPLE, SAMPLE_WORDS = 12_000, 4_000
+SAMPLE = 12_000
 VOCABULARY, MIN_DOCS, MIN_Z, MIN_LIFT = 30_000, 4, 3.5, 1.5
 STRENGTH, REJECT_ABOVE, BROADCAST_SITES = 50.0, 0.33, 100_000
 SYMBOLS = b"#*$%&|<>"
@@ -123,7 +123,7 @@ def fit_text_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     def run(batches):
         for batch in chain.from_iterable(map(slices, batches)):
             made = [statistics(t or "") for t in batch.column(1).to_pylist()]
-            words = [b" ".join(sorted(w)[:SAMPLE_WORDS]) for _, w in made]
+            words = [b" ".join(sorted(w)) for _, w in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s, _ in made], pa.binary()), pa.array(words, pa.binary())], ["_doc", "bad", "stats", "words"])
 
     kind = rows.schema["_doc"].dataType.simpleString()

@@ -156,6 +156,13 @@ def test_site_quality_edges(spark, docs, empty):
     assert site_quality.rated(empty, model).count() == 0
 
 
+def test_site_quality_learns_from_whole_texts(spark):
+    long = " ".join(f"a{k}" for k in range(5000))
+    df = spark.createDataFrame([(k, long + (" zzz" if k % 2 else "")) for k in range(40)], "doc_id long, text string")
+    model = site_quality.fit_text_model(df, spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, bad int"))
+    assert b"zzz" in model.words
+
+
 def test_sites_shrink(spark):
     out = site_quality.sites(spark.createDataFrame([("a", "x", 1.0)] * 3 + [("a", None, 0.0), (None, "x", 0.5)], "_host string, _path string, _p double"))
     got = {(r["_host"], r["_path"]): r for r in out.collect()}
