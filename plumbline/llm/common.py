@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,19 @@ from pyspark.sql import functions as F
 #: The six ASCII characters that separate words.
 WHITE = b" \t\n\x0b\x0c\r"
 U64 = np.uint64
+#: Spark removes the shuffle files of a query when it ends.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one is made only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). One is made only where none is set and driver
+    and executors are one process; elsewhere its absence is an error."""
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = getattr(sc, "_plumbline_shared", None) or tempfile.mkdtemp(prefix="plumbline-")
         sc._plumbline_shared = place
     if sc.getCheckpointDir() is None:
@@ -35,20 +41,62 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there.
 
-    A lost executor costs nothing of it, and shuffle files above it can go once the driver lets go of them.
+    A lost executor costs nothing of it. The shuffle files of the write go with its end; ``dropped`` removes the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_END)
+        else:
+            spark.conf.set(SHUFFLES_END, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._plumbline_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` inner joined with ``table``, which has one row for each key and in ``n`` the number of rows that have it.
+
+    Keys of more than one in ``share`` of ``total`` rows, of which there are fewer than ``share``, are broadcast, so that
+    no task gets a hot one; the others are shuffled.
+    """
+    hot = F.broadcast(table.where(F.col(n) * share > total).drop(n))
+    cold = table.where(F.col(n) * share <= total).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Each of ``names`` with underscores before it until no column of ``taken`` (of any letter case) is called so."""
+    taken = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
-    for _ in range(2):  # the listeners of a query that has just ended still hold it for a moment
-        time.sleep(0.5)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+def schema_of(df: DataFrame) -> str:
+    """The frame's columns as a schema string."""
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def clean_text(col: str = "text") -> Column:

@@ -8,10 +8,13 @@ differing bits agree in at least 6 bands, so each is filed under its 28 choices
 members of a file agree in 48 bits, so no file holds more than 65,536 fingerprints, whatever the data: a group that
 holds a third of all rows is either few distinct fingerprints or many files.
 
-Within a file, distances to reference fingerprints (pivots) are computed once for each member. By the triangle
-inequality the difference of two members in any such coordinate is at most their distance, so pairs with a coordinate
-difference over 2 are discarded and only the survivors are compared. Files above ``LARGE`` members use the 136 shells
-of the free 16 bits instead, which is linear. A file yields the edges of a spanning forest, never all of its pairs.
+Within a file only the 16 bits of the two bands that were left out differ. Pivots are the zero fingerprint and the ones
+of every block of ``BLOCK_BITS`` bits; the distances to them are a table with a row for each member, which gives the
+number of ones in each block. By the triangle inequality two members within ``RADIUS`` differ by at most that in any
+coordinate, and by at most that in all blocks together, since blocks don't overlap. So members are sorted by their
+coordinates, each looks up only the ``_offsets`` that may hold a partner, and the survivors are compared bit by bit.
+This is one path for files of any size, and far below the square of a large one. A file yields the edges of a spanning
+forest, never all of its pairs.
 
 Components of the forests' union come from alternating star contractions over the distinct fingerprints.
 
@@ -37,17 +40,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, give_back, release, slices, stored, windows, word_ids
+from .common import WordHash, dropped, fresh, give_back, joined_by_key, quoted, slices, stored, windows, word_ids
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BANDS, BAND_BITS = 8, 8
-LARGE = 128
 #: Near copies: words of a shingle, and the least Jaccard similarity as a fraction.
 NEAR_SHINGLE, NEAR = 5, (4, 5)
 #: For the order of shingles alone: texts of the sample, texts of these that make a shingle frequent, frequent shingles at most.
 ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 200_000
-#: Reference fingerprints: ends of bit blocks (fixed, by rule) so that coordinates are bit counts of half the bits.
-PIVOTS = [0, *(sum(1 << i for i in range(64) if i >> k & 1) for k in range(6)), *(sum(1 << i for i in range(64) if (i >> j ^ i >> k) & 1) for j, k in combinations(range(6), 2))]
+#: Bits of a block; the pivot table has a column for each of the blocks of the two free bands.
+BLOCK_BITS = 2
+BLOCKS = 2 * BAND_BITS // BLOCK_BITS
+#: Pairs that are compared at a time.
+STEP = 1 << 20
 #: The choices of the bands that are left out.
 CHOICES = list(combinations(range(BANDS), RADIUS))
 
@@ -77,7 +82,7 @@ def _majority(digests: bytes, n: int) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) for each row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
 
     def run(batches):
         for batch in chain.from_iterable(map(slices, batches)):
@@ -88,10 +93,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int16)
-
-
 def lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 and edges (a, b): the smallest node of each one's component."""
     label = np.arange(n)
@@ -107,44 +108,63 @@ def lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def linked_pairs(key: np.ndarray, fp: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between members of one file. key is sorted; fp holds distinct values within a file; free: its other bits."""
-    first = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
-    size = np.diff(np.append(first, len(key)))
+def pivot_table(free: np.ndarray) -> np.ndarray:
+    """Ones in each block of the free bits, from distances to pivots: |x ^ block| = |x| + |block| - 2 * ones in the block."""
+    pivots = [((1 << BLOCK_BITS) - 1) << (k * BLOCK_BITS) for k in range(BLOCKS)]
+    far = [np.bitwise_count(free ^ p).astype(np.int64) for p in (0, *pivots)]
+    return np.stack([(far[0] + BLOCK_BITS - f) // 2 for f in far[1:]])
+
+
+def _offsets() -> list[tuple[int, ...]]:
+    """Differences of coordinates that a link may have, one of each two opposite ones."""
+    out: list[tuple[int, ...]] = [()]
+    for _ in range(BLOCKS):
+        out = [(*o, d) for o in out for d in range(-BLOCK_BITS, BLOCK_BITS + 1) if sum(map(abs, o)) + abs(d) <= RADIUS]
+    return [o for o in out if o >= (0,) * BLOCKS]
+
+
+OFFSETS = _offsets()
+
+
+def linked_pairs(file: np.ndarray, fp: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members of one file; ``fp`` holds distinct values within a file."""
+    free = _sixteen(fp, choice)
+    table, base = pivot_table(free), BLOCK_BITS + 1
+    weight = base ** np.arange(BLOCKS)
+    key = file * base**BLOCKS + (table * weight[:, None]).sum(0)
+    order = np.argsort(key, kind="stable")
+    key, free, table = key[order], free[order], table[:, order]
     left, right = [], []
-    small = np.repeat(size <= LARGE, size)
-    table = np.stack([_bits(fp ^ np.uint64(p)) for p in PIVOTS])
-    lag, alive = 1, np.nonzero(small[:-1] & (key[:-1] == key[1:]))[0]
-    while len(alive):
-        a, b = alive, alive + lag
-        for row in table:  # coordinates one after another: most pairs go at the first ones
-            near = np.abs(row[a] - row[b]) <= RADIUS
-            a, b = a[near], b[near]
-        near = _bits(fp[a] ^ fp[b]) <= RADIUS
-        left.append(a[near])
-        right.append(b[near])
-        lag += 1
-        alive = alive[alive + lag < len(key)]
-        alive = alive[key[alive] == key[alive + lag]]
-    shells = [0, *(1 << i for i in range(16)), *(1 << i | 1 << j for i, j in combinations(range(16), 2))]
-    for k in np.nonzero(size > LARGE)[0]:
-        rows = np.arange(first[k], first[k] + size[k])
-        code = _sixteen(fp[rows], int(free[rows[0]]))
-        place = np.full(1 << 16, -1)
-        place[code] = rows
-        for shell in shells[1:]:
-            other = place[code ^ shell]
-            hit = other > rows
-            left.append(rows[hit])
-            right.append(other[hit])
+    for offset in OFFSETS:
+        fits = np.ones(len(key), bool)
+        for k, d in enumerate(offset):
+            if d:
+                fits &= (table[k] + d >= 0) & (table[k] + d <= BLOCK_BITS)
+        here = np.nonzero(fits)[0]
+        wanted = key[here] + int(np.dot(offset, weight))
+        low, high = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
+        if not any(offset):
+            low = here + 1  # of two in one cell, the later one is the partner
+        here, low, count = here[high > low], low[high > low], (high - low)[high > low]
+        ends = np.cumsum(count)
+        at = 0
+        while at < len(here):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
+            n = count[at:to]
+            a = np.repeat(here[at:to], n)
+            b = np.repeat(low[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            near = np.bitwise_count(free[a] ^ free[b]) <= RADIUS
+            left.append(order[a[near]])
+            right.append(order[b[near]])
+            at = to
     return np.concatenate(left) if left else np.empty(0, int), np.concatenate(right) if right else np.empty(0, int)
 
 
-def _sixteen(fp: np.ndarray, choice: int) -> np.ndarray:
-    """The bits of the two bands that the file leaves out."""
-    i, j = CHOICES[choice]
-    take = lambda k: (fp >> np.uint64(k * BAND_BITS)) & np.uint64(255)
-    return (take(i) << np.uint64(8) | take(j)).astype(np.int64)
+def _sixteen(fp: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """The bits of the two bands that each one's file leaves out."""
+    take = lambda bands: (fp >> (bands[choice] * BAND_BITS).astype(np.uint64)) & np.uint64((1 << BAND_BITS) - 1)
+    i, j = np.array(CHOICES).T
+    return (take(i) << np.uint64(BAND_BITS) | take(j)).astype(np.int64)
 
 
 def _forests(batches):
@@ -190,8 +210,7 @@ def links(fps: DataFrame) -> DataFrame:
         mask = sum(255 << (k * BAND_BITS) for k in range(BANDS) if k not in out)
         files.append(F.struct(F.lit(n).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
     rows = fps.select("fp", F.explode(F.array(*files)).alias("f")).select(F.col("f.choice").alias("choice"), F.col("f.key").alias("key"), "fp")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "choice", "key").sortWithinPartitions("choice", "key", "fp")
+    rows = rows.repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
     return rows.mapInArrow(_forests, "a long, b long")
 
 
@@ -213,7 +232,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        pairs = stored(small, "links")
+        before, pairs = pairs, stored(small, "links")
+        dropped(before)
         now = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == seen or not now[0]:
             break
@@ -224,12 +244,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row."""
     marks = stored(fingerprints(docs, doc_id, text), "fingerprints")
-    fps = marks.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(fps.select("fp")))
-    of = fps.join(roots, fps.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    fps = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "fingerprint-sets")
+    roots = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
+    of = fps.join(roots, "fp", "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = of.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    out = marks.join(of, marks.fp == F.col("_fp"))
+    out = joined_by_key(marks, of.join(least, "root").select("fp", "component_id", "n"), "fp", "n", marks.count())
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -356,12 +375,14 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
+    out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
+    dropped(pairs, whole)
+    return out
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key and root (what the rows of a group have in common) for every row: groups by exact similarity."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    texts = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.xxhash64(quoted(text)).alias("text_key"), F.col(quoted(text)).alias("text"))
     marks = stored(shingle_marks(texts, frequent_shingles(texts)), "near-marks")
     sets = stored(marks.groupBy("sig").agg(F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("firsts").alias("firsts")), "near-sets")
     # what fingerprints link, by the least set of each fingerprint
@@ -370,23 +391,22 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     first = sets.join(least, "fp").select(F.col("sig").alias("a"), F.col("low").alias("b"))
     first = first.unionByName(links(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
     known = verified(first, sets, texts)
-    release(docs.sparkSession)
     # all other similar pairs
     rooted = sets.join(components(known).withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", "firsts")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = rooted.mapInArrow(_entries, "shingle long, sig long, root long, n long, place long")
-    met = entries.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "sig").mapInArrow(_meetings, "a long, b long")
-    known = known.unionByName(verified(met, sets, texts))
-    release(docs.sparkSession)
-    roots = components(known).withColumnRenamed("node", "sig")
+    met = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "sig").mapInArrow(_meetings, "a long, b long")
+    more = verified(met, sets, texts)
+    roots = components(known.unionByName(more)).withColumnRenamed("node", "sig")
+    dropped(sets, least, known, more)
     return marks.select("doc_id", "text_key", "sig").join(roots, "sig", "left").select("doc_id", "text_key", F.coalesce("root", "sig").alias("root"))
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of near copies: that of the smallest id (null ids last), then of the least text hash; of rows
     equal in both, one. Rows without an id, or with one id and different texts, are documents of their own."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_first"), F.col("text_key").alias("_text_key"))
-    first = near_copies(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("r")).select("r._first", "r._text_key")
-    rows = docs.withColumn("_key", F.xxhash64(text))
-    kept = rows.join(first, F.col(doc_id).eqNullSafe(F.col("_first")) & (F.col("_key") == F.col("_text_key")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_key"]).drop("_key")
+    key, first_id, first_key = fresh(docs.columns, "key", "first_id", "first_key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias(first_id), F.col("text_key").alias(first_key))
+    first = near_copies(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("r")).select(f"r.{first_id}", f"r.{first_key}")
+    rows = docs.withColumn(key, F.xxhash64(quoted(text)))
+    kept = rows.join(first, F.col(quoted(doc_id)).eqNullSafe(F.col(first_id)) & (F.col(key) == F.col(first_key)), "left_semi")
+    return kept.dropDuplicates([doc_id, key]).drop(key)

@@ -4,8 +4,9 @@ A window of 20 words that starts earlier elsewhere is a repeat, and its words ar
 end to end in every text, are the anchors: a repeat of 20 words or more always holds a whole block of its other place.
 
 1. Probe. Every 10-word window of every text, blocks marked, goes to the bucket of its hash. Where a bucket holds a
-   block and another window of the same hash, all of these places are hits. Only 5 to 6 bytes a window are shuffled:
-   hash remainders and gaps between places, packed per chunk of texts.
+   block and another window of the same hash, all of these places are hits. About 7 bytes a window are shuffled, however
+   many buckets there are: hash remainders and gaps between places within a chunk of texts, whose directory of texts
+   goes once to the part where its hits meet again.
 2. Extend. Hits grow to the words around them: only 20-word windows that hold a hit can be repeats. Each gets a
    96-bit key of its words and the first place of each key stays; the union of the others, window by window, is
    every maximal repeat, exactly.
@@ -13,8 +14,9 @@ end to end in every text, are the anchors: a repeat of 20 words or more always h
 
 A passage that a third of all texts share sends one entry for each chunk of texts (about a million words), not for each text:
 repeats within a chunk are settled there. The number of buckets follows the number of words, so neither a bucket nor
-the odds of a false hit grow with the input (false hits only cost work; step 2 checks all words). Each step ends in a
-table in the shared folder.
+the odds of a false hit grow with the input (false hits only cost work; step 2 checks all words). A chunk is cut into
+``FANOUT`` buckets at most, and only those that get something are visited; where more are needed, tasks that each gather
+the same buckets of many chunks cut them again. Each step ends in a table in the shared folder.
 
 Defined cases: null text has no words and an empty kept text; texts of under 20 words are kept whole; equal rows with
 one id count as one document, and both lose the same words; rows of one id with different texts are ordered by a hash
@@ -33,20 +35,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHash, chunks, covered, give_back, mixed, release, second_windows, stored, windows, word_ids
+from .common import U64, WordHash, chunks, covered, dropped, give_back, mixed, quoted, second_windows, stored, windows, word_ids
 
 WINDOW, BLOCK = 20, 10
-#: Bytes of text in a chunk, and words for each bucket.
-CHUNK, WORDS_PER_BUCKET = 6_000_000, 2_500_000
+#: Bytes of text in a chunk, and windows for each bucket.
+CHUNK, PER_BUCKET = 6_000_000, 1_000_000
+#: Buckets at most that a chunk is cut into at once, and bytes that are gathered to be cut again.
+FANOUT, GATHER = 4096, 96_000_000
 #: Entries at most in a piece of what a chunk settles itself.
 PIECE = 100_000
 NULL_ID = -(1 << 63)
+#: What a blob holds: entries with the rest of their hashes, with whole hashes, places that are settled, a directory.
+REST, WHOLE, SETTLED, DIRECTORY = range(4)
 
 
 def buckets_for(docs: DataFrame, text: str = "text") -> int:
-    """Enough buckets that each has about ``WORDS_PER_BUCKET`` windows."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(24, size // (5 * WORDS_PER_BUCKET))
+    """Enough buckets that each has about ``PER_BUCKET`` windows (of words of 5 bytes)."""
+    size = docs.agg(F.sum(F.octet_length(quoted(text)))).first()[0] or 0
+    return 1 + size // (5 * PER_BUCKET)
 
 
 def text_key(data: bytes) -> int:
@@ -116,20 +122,61 @@ def _settled(doc_key: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: int) -> l
     out = []
     for at in range(0, len(doc), PIECE):
         d, p = doc[at : at + PIECE], pos[at : at + PIECE]
-        blob = b"\x01" + _packed(doc_key, d, p)
+        blob = bytes((SETTLED,)) + _packed(doc_key, d, p)
         out.append((xxhash.xxh64_intdigest(blob) % n, blob))
     return out
 
 
 def _table(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
 
-def _split(bucket: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
-    """Entries of each bucket, in their order."""
-    order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], np.arange(n + 1))
-    return [(b, order[ends[b] : ends[b + 1]]) for b in range(n) if ends[b] < ends[b + 1]]
+def _split(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Entries of each bucket that has some, in their order."""
+    if not len(bucket):
+        return []
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
+    sorted_ = bucket[order]
+    ends = np.append(np.nonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))[0], len(order))
+    return [(int(sorted_[x]), order[x:y]) for x, y in zip(ends, ends[1:])]
+
+
+def _finer(n: int, width: int, *kinds):
+    """Blobs of coarse buckets, of many chunks, to the ``n`` buckets themselves; what is settled passes."""
+
+    def cut(parts):
+        names, who, pos, keys, *more = _joined(parts, width)
+        order = np.lexsort((pos, who))
+        who, pos, keys, more = who[order], pos[order].astype(np.int64), keys[order], [m[order] for m in more]
+        return _table([(b, bytes((WHOLE,)) + _packed(names, who[x], pos[x], keys[x], *(m[x] for m in more))) for b, x in _split(_bucket(keys, n))])
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for value in batch.column(1):
+                blob = value.as_py()
+                if blob[0] != WHOLE:
+                    yield _table([(xxhash.xxh64_intdigest(blob) % n, blob)])
+                    continue
+                parts.append(_unpacked(blob[1:], width, *kinds))
+                size += len(blob)
+                if size >= GATHER:
+                    yield cut(parts)
+                    parts, size = [], 0
+        if parts:
+            yield cut(parts)
+        parts = None
+        give_back()
+
+    return run
+
+
+def _bucketed(entries: DataFrame, n: int, width: int, *kinds) -> DataFrame:
+    """(bucket, blob) with ``n`` buckets, from what chunks were cut into."""
+    if n <= FANOUT:
+        return entries
+    spread = F.pmod(F.xxhash64("blob"), F.lit(-(-n // FANOUT)))
+    return entries.repartition("bucket", spread).mapInArrow(_finer(n, width, *kinds), "bucket long, blob binary")
 
 
 def _repeated(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +188,8 @@ def _repeated(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _probe(n_buckets: int):
-    """(id, text) -> per bucket: hits found within the chunk, then the chunk's distinct 10-word windows."""
+    """(id, text) -> per bucket: the chunk's directory, hits found within it, then its distinct 10-word windows."""
+    fan = min(n_buckets, FANOUT)
 
     def run(batches):
         cache = WordHash(200_000)
@@ -156,23 +204,28 @@ def _probe(n_buckets: int):
             keys, doc = keys[at], doc[at]
             if not len(keys):
                 continue
-            pos = at - start[doc]
+            block = (at - start[doc]) % BLOCK == 0
             order = np.argsort(keys, kind="stable")
             again, first = _repeated(keys, order)
-            block = (pos % BLOCK == 0)[order]
             group = np.cumsum(first) - 1
-            anchored = np.bincount(group, weights=block) > 0
+            anchored = np.bincount(group, weights=block[order]) > 0
             lone = order[first]  # the first place of each key; flags: a block among them (1), more than one (2)
             flags = anchored.astype(np.uint8) | (again[first].astype(np.uint8) << 1)
             back = np.argsort(lone, kind="stable")
             lone, flags = lone[back], flags[back]
-            out = []
-            for b, some in _split(_bucket(keys[lone], n_buckets), n_buckets):
+            # the name of a chunk follows from its rows: a task that runs again gives it the same
+            chunk = np.array([[xxhash.xxh3_64_intdigest(doc_key.tobytes())]], np.uint64).view(np.int64)
+            of = np.zeros(len(at), np.int32)
+            out = [(int(chunk[0, 0]) % n_buckets, bytes((DIRECTORY,)) + chunk.tobytes() + np.column_stack((doc_key, start)).tobytes())]
+            for b, some in _split(_bucket(keys[lone], fan)):
                 e = lone[some]
-                out.append((b, b"\x00" + _packed(doc_key, doc[e], pos[e], keys[e].astype(np.uint32), flags[some])))
+                if n_buckets > fan:
+                    out.append((b, bytes((WHOLE,)) + _packed(chunk, of[e], at[e], keys[e], flags[some])))
+                else:
+                    out.append((b, bytes((REST,)) + _packed(chunk, of[e], at[e], keys[e].astype(np.uint32), flags[some])))
             local = np.sort(order[again])
             if len(local):  # settled here; any bucket passes them on
-                out.extend(_settled(doc_key, doc[local], pos[local], n_buckets))
+                out.extend(_settled(chunk, of[local], at[local], n_buckets))
             yield _table(out)
         cache = rows = texts = flat = doc = keys = out = None
         give_back()
@@ -180,7 +233,7 @@ def _probe(n_buckets: int):
     return run
 
 
-PARTS = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+PARTS = pa.schema([("part", pa.int64()), ("blob", pa.binary())])
 
 
 def _new_docs(keys: np.ndarray) -> np.ndarray:
@@ -188,66 +241,95 @@ def _new_docs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))
 
 
-def _dealt(done: list[tuple], n: int, key_width: int) -> pa.Table:
-    """Places of texts, packed for ``n`` parts of the texts: as many rows at most."""
-    names, who, pos = _joined(done, key_width)
-    rows = []
-    if len(pos):
-        part = (mixed(names[:, 0].astype(U64) ^ mixed(names[:, 1].astype(U64))) % U64(n)).astype(np.int32)  # many texts may lack an id
-        order = np.lexsort((pos, who, part[who]))
-        who, pos = who[order], pos[order]
-        of = part[who]
-        ends = np.append(np.nonzero(np.concatenate(([True], of[1:] != of[:-1])))[0], len(of))
-        rows = [(int(of[x]), _packed(names, who[x:y], pos[x:y].astype(np.int64))) for x, y in zip(ends, ends[1:])]
+def _dealt(done: list[tuple], n: int, width: int) -> list[tuple[int, bytes]]:
+    """Places, packed for ``n`` parts of what they are places of (texts or chunks): as many rows at most."""
+    names, who, pos = _joined(done, width)
+    if not len(pos):
+        return []
+    part = np.zeros(len(names), U64)
+    for k in range(width):  # many texts may lack an id, so all of the name counts
+        part = mixed(part ^ mixed(names[:, k].astype(U64)))
+    part = (part % U64(n)).astype(np.int64)
+    order = np.lexsort((pos, who, part[who]))
+    who, pos = who[order], pos[order].astype(np.int64)
+    of = part[who]
+    ends = np.append(np.nonzero(np.concatenate(([True], of[1:] != of[:-1])))[0], len(of))
+    return [(int(of[x]), bytes((SETTLED,)) + _packed(names, who[x:y], pos[x:y])) for x, y in zip(ends, ends[1:])]
+
+
+def _parts(rows: list[tuple[int, bytes]]) -> pa.Table:
     give_back()
-    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=PARTS)
+    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=PARTS)
 
 
-def _gathered(names: list[str]):
-    """One part's blobs to a row for each text."""
+def _rows(keys: np.ndarray, who: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Keys that have places, and these (sorted, uint32) for each."""
+    order = np.lexsort((pos, who))
+    who, pos = who[order], pos[order].astype(np.uint32)
+    ends = np.searchsorted(who, np.arange(len(keys) + 1))
+    some = np.nonzero(ends[1:] > ends[:-1])[0]
+    return keys[some], [pos[ends[k] : ends[k + 1]].tobytes() for k in some.tolist()]
 
-    def run(table: pa.Table) -> pa.Table:
-        keys, who, pos = _joined([_unpacked(b.as_py(), len(names)) for b in table.column("blob")], len(names))
-        order = np.lexsort((pos, who))
-        who, pos = who[order], pos[order].astype(np.uint32)
-        ends = np.searchsorted(who, np.arange(len(keys) + 1))
-        made = pa.array([pos[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-        return pa.Table.from_arrays([*(pa.array(keys[:, k]) for k in range(len(names))), made], [*names, "places"])
 
-    return run
+def _texts(found: list[tuple[np.ndarray, list[bytes]]], column: str) -> pa.Table:
+    keys = np.concatenate([k for k, _ in found]) if found else np.empty((0, 2), np.int64)
+    return pa.Table.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([b for _, bs in found for b in bs], pa.binary())], ["doc_key", "text_key", column])
 
 
-def _meet(entries: DataFrame, settle, n: int, names: list[str]) -> DataFrame:
-    """Settle the entries of each bucket, and bring what is found back to the texts: a row for each text."""
-    found = entries.groupBy("bucket").applyInArrow(lambda t: settle(t, n), "part int, blob binary")
-    columns = ", ".join(f"{c} long" for c in names)
-    return found.groupBy("part").applyInArrow(_gathered(names), f"{columns}, places binary")
+def _places_of_texts(table: pa.Table) -> pa.Table:
+    """One part's blobs to a row for each text."""
+    return _texts([_rows(*_joined([_unpacked(b.as_py()[1:], 2) for b in table.column("blob")], 2))], "places")
+
+
+def _hits_of_texts(table: pa.Table) -> pa.Table:
+    """One part's directories, and the hits of their chunks, to a row for each text that has some."""
+    directory, hits = {}, []
+    for value in table.column("blob"):
+        blob = value.as_py()
+        if blob[0] == DIRECTORY:
+            directory[int.from_bytes(blob[1:9], "little", signed=True)] = np.frombuffer(blob, np.int64, offset=9).reshape(-1, 3)
+        else:
+            hits.append(_unpacked(blob[1:], 1))
+    names, who, pos = _joined(hits, 1)
+    order = np.argsort(who, kind="stable")
+    ends = np.searchsorted(who[order], np.arange(len(names) + 1))
+    found = []
+    for k, name in enumerate(names[:, 0].tolist()):
+        texts, at = directory[name], pos[order[ends[k] : ends[k + 1]]].astype(np.int64)
+        text = np.searchsorted(texts[:, 2], at, "right") - 1  # of those that start there the last, which isn't empty
+        found.append(_rows(texts[:, :2], text, at - texts[text, 2]))
+    return _texts(found, "hits")
 
 
 def _hits(table: pa.Table, n: int) -> pa.Table:
-    """One bucket's entries to the places of hits."""
-    fresh, done = [], []
+    """One bucket's entries to the places of hits; directories go to the parts of their chunks."""
+    fresh, done, rows = [], [], []
     for value in table.column("blob"):
         blob = value.as_py()
-        if blob[0]:
-            done.append(_unpacked(blob[1:], 2))
+        if blob[0] == DIRECTORY:
+            name = np.frombuffer(blob, np.int64, 1, 1)
+            rows.append((int(mixed(mixed(name.astype(U64)))[0] % U64(n)), blob))
+        elif blob[0] == SETTLED:
+            done.append(_unpacked(blob[1:], 1))
         else:
-            fresh.append(_unpacked(blob[1:], 2, np.uint32, np.uint8))
+            names, who, pos, rest, flag = _unpacked(blob[1:], 1, np.uint64 if blob[0] == WHOLE else np.uint32, np.uint8)
+            fresh.append((names, who, pos, rest.astype(np.uint32), flag))
     if fresh:
-        names, who, pos, rem, flag = _joined(fresh, 2)
+        names, who, pos, rest, flag = _joined(fresh, 1)
         del fresh
-        order = np.argsort(rem, kind="stable")
-        again, first = _repeated(rem, order)
+        order = np.argsort(rest, kind="stable")
+        again, first = _repeated(rest, order)
         group = np.cumsum(first) - 1
         anchored = np.bincount(group, weights=(flag & 1)[order]) > 0
         hit = np.sort(order[again & anchored[group]])
         done.append((names, who[hit], pos[hit]))
-        del names, who, pos, rem, flag, order, again, first, group, anchored, hit
-    return _dealt(done, n, 2)
+        del names, who, pos, rest, flag, order, again, first, group, anchored, hit
+    return _parts(rows + _dealt(done, n, 1))
 
 
 def _candidates(n_buckets: int):
     """(key, text, hits) -> per bucket: repeats found within the chunk, then the 20-word windows that hold a hit."""
+    fan = min(n_buckets, FANOUT)
 
     def run(batches):
         cache = WordHash(200_000)
@@ -277,9 +359,9 @@ def _candidates(n_buckets: int):
             out = []
             gone = np.sort(order_[~first])
             lone = np.sort(order_[first])
-            for b, some in _split(_bucket(keys[lone], n_buckets), n_buckets):
+            for b, some in _split(_bucket(keys[lone], fan)):
                 x = lone[some]
-                out.append((b, b"\x00" + _packed(doc_key, doc[x], pos[x], keys[x], more[x])))
+                out.append((b, bytes((WHOLE,)) + _packed(doc_key, doc[x], pos[x], keys[x], more[x])))
             if len(gone):
                 out.extend(_settled(doc_key, doc[gone], pos[gone], n_buckets))
             yield _table(out)
@@ -294,7 +376,7 @@ def _later(table: pa.Table, n: int) -> pa.Table:
     fresh, done = [], []
     for value in table.column("blob"):
         blob = value.as_py()
-        if blob[0]:
+        if blob[0] == SETTLED:
             done.append(_unpacked(blob[1:], 2))
         else:
             fresh.append(_unpacked(blob[1:], 2, np.uint64, np.uint32))
@@ -310,23 +392,24 @@ def _later(table: pa.Table, n: int) -> pa.Table:
         later = (who != who[first]) | (pos != pos[first])  # equal rows share it
         done.append((names, who[later], pos[later]))
         del names, who, pos, order, new, first, later
-    return _dealt(done, n, 2)
+    return _parts(_dealt(done, n, 2))
 
 
 def repeated_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_key, text_key and places (start words, uint32 bytes) of all 20-word windows that start earlier elsewhere."""
-    spark = docs.sparkSession
+    rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_key"), F.col(quoted(text)).alias("text"))
     n = buckets_for(docs, text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_key"), F.col(text).alias("text"))
-    probes = rows.mapInArrow(_probe(n), "bucket int, blob binary")
-    hits = stored(_meet(probes, _hits, n, ["doc_key", "text_key"]).withColumnRenamed("places", "hits"), "anchor-hits")
-    del probes
-    release(spark)
+    probes = _bucketed(rows.mapInArrow(_probe(n), "bucket long, blob binary"), n, 1, np.uint64, np.uint8)
+    found = probes.groupBy("bucket").applyInArrow(lambda t: _hits(t, n), "part long, blob binary")
+    hits = stored(found.groupBy("part").applyInArrow(_hits_of_texts, "doc_key long, text_key long, hits binary"), "anchor-hits")
+    # a stretch of hits has at most this many windows of 20 words about it
+    about = hits.agg(F.sum(F.length("hits") / 4), F.count(F.lit(1))).first()
+    m = 1 + int((about[0] or 0) + (WINDOW - BLOCK) * about[1]) // PER_BUCKET
     near = rows.withColumns({"doc_key": F.coalesce("doc_key", F.lit(NULL_ID)), "text_key": F.xxhash64("text")}).join(hits, ["doc_key", "text_key"]).select("doc_key", "text", "hits")
-    found = near.mapInArrow(_candidates(n), "bucket int, blob binary")
-    out = stored(_meet(found, _later, n, ["doc_key", "text_key"]), "repeats")
-    del found, near, hits
-    release(spark)
+    entries = _bucketed(near.mapInArrow(_candidates(m), "bucket long, blob binary"), m, 2, np.uint64, np.uint32)
+    found = entries.groupBy("bucket").applyInArrow(lambda t: _later(t, m), "part long, blob binary")
+    out = stored(found.groupBy("part").applyInArrow(_places_of_texts, "doc_key long, text_key long, places binary"), "repeats")
+    dropped(hits)
     return out
 
 
@@ -358,7 +441,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, text (the kept words joined by one space), n_words, n_removed for every row; or, with ``digest``, the
     kept text's SHA-256 (kept_sha256) in its place."""
     repeats = repeated_places(docs, doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("doc_key")) & (F.xxhash64("text") == F.col("text_key"))
     marked = rows.join(repeats, same, "left")
     marked = marked.select("doc_id", "text", "places")

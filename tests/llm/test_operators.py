@@ -65,6 +65,26 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_substring_dedup_in_two_levels(spark, docs, monkeypatch):
+    """As many buckets as a huge input has, each chunk cut into few: the same result."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", 3000)
+    want = sorted(map(tuple, substring_dedup.dedup_substrings(docs, digest=True).collect()), key=str)
+    monkeypatch.setattr(substring_dedup, "PER_BUCKET", 50)
+    monkeypatch.setattr(substring_dedup, "FANOUT", 8)
+    monkeypatch.setattr(substring_dedup, "GATHER", 20_000)
+    assert sorted(map(tuple, substring_dedup.dedup_substrings(docs, digest=True).collect()), key=str) == want
+
+
+def test_bytes_of_a_window_do_not_depend_on_the_buckets():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50_000, 400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_key", "text"])
+    size = {n: sum(len(b) for out in substring_dedup._probe(n)([batch]) for b in out.column(1).to_pylist()) / (1500 * 391) for n in (24, 2400)}
+    assert size[24] < 8 and size[2400] < 1.1 * size[24]
+
+
 def test_substring_dedup_of_repeated_rows(spark):
     text = " ".join(f"q{k}" for k in range(30))
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, "x")], "doc_id long, text string")
@@ -270,6 +290,87 @@ def test_chains_of_contexts_are_followed_to_their_end(spark):
     assert all(out[i].startswith("id:") for i, t in enumerate(texts) if "-5555" in t)
 
 
+def test_long_words_and_wide_gaps_are_context(spark):
+    long = "x" * 300
+    data = [(k, f"{long}{'ab'[k % 2]} {' ' * 200} key{k}@x.example.org") for k in range(24)] + [(50, f"{long}a {' ' * 200} K9X8-7Y65"), (51, f"{long}c K9X8-7Y66")]
+    out = {r.doc_id: (r.n_id, r.n_spans) for r in contextual_pii.find_personal_data(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out[50] == (1, 1) and out[51] == (0, 0) and out[3] == (0, 1)
+
+
+def test_time_follows_the_number_of_matches(spark):
+    import time
+
+    took = {}
+    for n in (2000, 16_000, 32_000):  # the first one compiles
+        text = " ".join(f"é10.{k % 250}.{k // 250}.7 y" for k in range(n))
+        began = time.time()
+        got = contextual_pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+        took[n] = time.time() - began
+        assert got == " ".join(["é[IP] y"] * n)
+    assert took[32_000] < 3 * took[16_000]
+
+
+def test_overlapping_spans_become_one(spark):
+    rows = [(1, "mail +49 30 1234567890.x@mail.example.com and 1.2.3.4@b.example.org, 10.0.0.1"), (2, "a" * 5000 + " z9@m.example.com " + "b" * 5000)]
+    df = spark.createDataFrame([(*r, "o", 1, 2) for r in rows], "doc_id long, `te.xt` string, own_id string, spans int, `_blo.cks` int")
+    spans = {r.doc_id: r.spans for r in contextual_pii.find_personal_data(df, text="te.xt").collect()}
+    out = {r.doc_id: r for r in contextual_pii.redact(df, text="te.xt").collect()}
+    for i, text in rows:
+        merged = []
+        for kind, start, end in sorted((s.split(":") for s in spans[i].split(",")), key=lambda s: (int(s[1]), int(s[2]), s[0])):
+            if merged and int(start) < merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], int(end))
+            else:
+                merged.append([kind, int(start), int(end)])
+        want, at = "", 0
+        for kind, start, end in merged:
+            want, at = want + text[at:start] + f"[{kind.upper()}]", end
+        assert out[i]["te.xt"] == want + text[at:] and out[i].own_id == "o" and out[i].spans == 1
+
+
+def test_contexts_as_brute_force_has_them(spark):
+    """Spans of kind id against the same definition in plain Python; planted identifiers are found."""
+    rng = random.Random(11)
+    words_, seeds = [f"v{'abcdefghij'[k % 10]}{'klmnop'[k % 6]}" for k in range(30)], [f"u{k}@h{k % 7}.example.org" for k in range(80)]
+    texts, planted = [], 0
+    for k in range(240):
+        w = [rng.choice(words_) for _ in range(rng.randrange(3, 20))]
+        at = rng.randrange(len(w))
+        if k % 3 == 0:
+            w[at:at] = ["account:", seeds[k // 3], "closed"]
+        elif k % 6 == 1:
+            w[at:at] = ["account:", f"AC{rng.randrange(10**6):06d}-{k}", "closed"]
+            planted += 1
+        else:
+            w[at:at] = [rng.choice(words_), f"build{rng.randrange(10**5):05d}", rng.choice(words_)]
+        texts.append(" ".join(w))
+    tokens = []
+    for d, text in enumerate(texts):
+        found = [(m.group(), m.start(), m.end()) for m in re.finditer(r"(?<!\S)\S*[0-9@]\S*", text)]
+        for value, start, end in found:
+            seed = "@" in value
+            if seed or (len(value) >= 8 and sum(c.isdigit() for c in value) >= 4):
+                # context stops at the next token on either side
+                before, after = text[:start].split(), text[end:].split()
+                left = before[-1] if before and not re.search("[0-9@]", before[-1]) else ""
+                right = after[0] if after and not re.search("[0-9@]", after[0]) else ""
+                tokens.append((d, start, end, value, {p for p in ("L:" + left, "R:" + right) if len(p) > 2}, seed))
+    graph, seeded = defaultdict(set), {t[3] for t in tokens if t[5]}
+    for *_, value, patterns, _ in tokens:
+        for p in patterns:
+            graph[p].add(value)
+    graph = {p: v for p, v in graph.items() if len(v & seeded) >= contextual_pii.MIN_SEEDS}
+    belief = {v: float(v in seeded) for vs in graph.values() for v in vs}
+    for _ in range(200):
+        sure = {p: sum(belief[v] for v in vs) / (len(vs) + contextual_pii.PRIOR) for p, vs in graph.items()}
+        sure = {p: c if c >= contextual_pii.MIN_CONFIDENCE else 0.0 for p, c in sure.items()}
+        belief = {v: 1.0 if v in seeded else 1 - np.prod([1 - min(sure[p], 0.999999) for p, vs in graph.items() if v in vs]) for v in belief}
+    want = {(d, f"id:{start}:{end}") for d, start, end, value, _, seed in tokens if not seed and belief.get(value, 0) >= contextual_pii.MIN_BELIEF}
+    out = contextual_pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, s) for r in out for s in r.spans.split(",") if s.startswith("id:")} == want
+    assert sum("AC" in texts[d] for d, _ in want) >= 0.9 * planted
+
+
 def test_many_matches_are_located(spark):
     text = " ".join(f"é{k}@m.example.com," for k in range(400))
     got = contextual_pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
@@ -338,15 +439,29 @@ def test_rows_without_an_id_are_documents(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d"))], key=str)
 
 
-def test_large_files_of_fingerprints():
-    rng = np.random.default_rng(4)
-    free = np.unique(rng.integers(0, 1 << 16, 2000)).astype(np.uint64)
+def test_clashing_names_pass_near_dedup(spark):
+    text = " ".join(f"a{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, 5, 6, 7), (2, text, 5, 6, 8), (None, None, 0, 0, 0)], "doc_id long, `te.xt` string, key int, _first_id int, `root.x` int")
+    kept = simhash_pivot.representatives(df, text="te.xt")
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(1, text, 5, 6, 7), (None, None, 0, 0, 0)], key=str)
+
+
+@pytest.mark.parametrize("members", [2, 60, 2000, 20_000])
+def test_files_of_fingerprints(members):
+    rng = np.random.default_rng(members)
+    free = np.unique(rng.integers(0, 1 << 16, members)).astype(np.uint64)
     choice = len(simhash_pivot.CHOICES) - 1  # bands 6 and 7 are free
-    fp = np.sort(free << np.uint64(48))
-    a, b = simhash_pivot.linked_pairs(np.zeros(len(fp), np.int64), fp, np.full(len(fp), choice))
+    fp = np.concatenate([free << np.uint64(48), free[:50] << np.uint64(48) | np.uint64(1)])  # two files
+    file = np.repeat([0, 1], [len(free), len(free[:50])])
+    a, b = simhash_pivot.linked_pairs(file, fp, np.full(len(fp), choice))
     got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
-    want = {(i, j) for i in range(len(fp)) for j in (i + 1 + np.nonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 2)[0]).tolist()}
-    assert got == want
+    want = {(i, j) for i in range(len(fp)) for j in (i + 1 + np.nonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 2) & (file[i + 1 :] == file[i]))[0]).tolist()}
+    assert got == want and len(a) == len(got)
+
+
+def test_pivot_table_counts_ones():
+    free = np.arange(1 << 16)
+    assert (simhash_pivot.pivot_table(free).sum(0) == np.bitwise_count(free)).all()
 
 
 def test_url_rules(spark):
