@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by dynamic programming over prefixes.
 
 For every prefix of a piece of text there is one last token of its encoding. It is found among the tokens that end
-there: a suffix automaton of the vocabulary (byte states with failure links) lists them, and token t is the last one if
+there: an automaton of the vocabulary's suffix matches (a trie of the tokens whose states have failure links to their
+longest suffixes; no state for inner substrings of tokens, which match nothing) lists them, and token t is the last one if
 the last token stored for the prefix before t may stand next to t, that is, if BPE run over the bytes of both gives
 just the two again. Following back from the whole piece through the stored last tokens emits the ids. Each byte of a
 piece is handled once, with at most as many tests as there are tokens that end in it, so a piece of any length takes
@@ -13,7 +14,7 @@ pair across the seam that would have been merged earlier than that; results are
 Pieces come from the tokenizer file's own pre-tokenizer pattern; added tokens are cut out before. The file is read on
 each worker, from a path that is a parameter.
 
-Defined cases: null text is the empty text (no ids, decoded empty); other columns pass through; empty tables and
+Defined cases: null text is the empty text (no ids, decoded empty); other columns pass through, whatever their names; empty tables and
 repeated rows need nothing special. Texts are handled whole.
 """
 
@@ -29,13 +30,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import give_back
+from .common import quoted, with_columns
 
 #: Fixed value: the split pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What a worker remembers at most: ids of words between spaces, ids of pieces, tests of neighbours, beginnings of pieces.
 #: Longer ones aren't kept.
 WORDS, PIECES, SEAMS, HEADS, LONGEST = 200_000, 100_000, 200_000, 100_000, 64
+#: Texts held as Python objects at a time.
+ROWS = 256
 #: Bytes of a beginning: pieces that share it share its states and last tokens.
 HEAD = 6
 
@@ -237,46 +240,35 @@ class ByteBPE:
         return b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _as_rows(path: str, text: str, digest: bool):
-    def run(batches):
+def _tokenizer(path: str, at: int, digest: bool):
+    """Ids and their number, or the number and digests, of the texts in column ``at``."""
+
+    def made():
         gc.disable()  # nothing here makes cycles; the collector would walk what is remembered again and again
-        try:
-            yield from encoded(batches)
-        finally:
-            gc.enable()
-            give_back()
-
-    def encoded(batches):
-        bpe = None  # made for this partition only: workers that wait for other tasks hold no tables
-        for batch in batches:
+        bpe = None  # made for this partition only, and if it has rows: workers that wait for other tasks hold no tables
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+        def encoded(columns):
+            nonlocal bpe
             bpe = bpe or ByteBPE(path)
-            at = batch.schema.get_field_index(text)
-            for start in range(0, batch.num_rows, 256):  # bounds what is held in Python at a time
-                part = batch.slice(start, 256)
-                ids = [bpe.encode(t or "") for t in part.column(at).to_pylist()]
-                counts = pa.array([len(i) for i in ids], pa.int64())
-                if digest:
-                    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                    more = [counts, pa.array([sha(",".join(map(bpe.decimal.__getitem__, i))) for i in ids]), pa.array([sha(bpe.decode(i)) for i in ids])]
-                    cols = [part.column(k) for k in range(part.num_columns) if k != at]
-                    names = [n for n in part.schema.names if n != text]
-                    yield pa.RecordBatch.from_arrays(cols + more, names + ["n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    more = [pa.array(ids, pa.list_(pa.int32())), counts]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *more], part.schema.names + ["token_ids", "n_tokens"])
+            ids = [bpe.encode(t or "") for t in columns[at].to_pylist()]
+            counts = pa.array([len(i) for i in ids], pa.int64())
+            if not digest:
+                return [pa.array(ids, pa.list_(pa.int32())), counts]
+            return [counts, pa.array([sha(",".join(map(bpe.decimal.__getitem__, i))) for i in ids]), pa.array([sha(bpe.decode(i)) for i in ids])]
+
+        return encoded
 
-    return run
+    return made
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with token_ids (array<int>) and n_tokens (long); columns of these names are replaced."""
     docs = docs.drop("token_ids", "n_tokens")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_as_rows(path, text, False), f"{schema}, token_ids array<int>, n_tokens bigint")
+    return with_columns(docs, _tokenizer(path, docs.columns.index(text), False), ROWS, token_ids="array<int>", n_tokens="bigint")
 
 
 def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the text decoded from them."""
-    docs = docs.selectExpr(f"`{doc_id}` AS doc_id", f"`{text}` AS text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_as_rows(path, "text", True), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    docs = docs.selectExpr(f"{quoted(doc_id)} AS doc_id", f"{quoted(text)} AS text")
+    return with_columns(docs, _tokenizer(path, 1, True), ROWS, "text", n_tokens="bigint", ids_sha256="string", decoded_sha256="string")

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII characters that separate words.
@@ -94,13 +94,29 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def schema_of(df: DataFrame) -> str:
-    """The frame's columns as a schema string."""
-    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
-def clean_text(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+def with_columns(df: DataFrame, made, rows: int, without: str | None = None, **kinds: str) -> DataFrame:
+    """``df`` with further columns of these ``kinds`` from ``made()``, which is called for each partition and gives a
+    function of a batch (its columns in order) to a list of arrays. Batches have at most so many ``rows``. Columns keep
+    their names, whatever these are: they are numbered on the way. The column ``without`` isn't sent back."""
+    names = [f"c{k}" for k in range(len(df.columns) + len(kinds))]
+    kept = [k for k, c in enumerate(df.columns) if c != without]
+    types = [*(f.dataType.simpleString() for f in df.schema.fields), *kinds.values()]
+    back = [*kept, *range(len(df.columns), len(names))]
+
+    def run(batches):
+        step = made()
+        try:
+            for batch in batches:
+                for part in slices(batch, rows):
+                    columns = [*part.columns, *step(part.columns)]
+                    yield pa.RecordBatch.from_arrays([columns[k] for k in back], [names[k] for k in back])
+        finally:
+            step = None
+            gc.enable()  # where ``made`` has turned it off
+            give_back()
+
+    out = df.toDF(*names[: len(df.columns)]).mapInArrow(run, ", ".join(f"{names[k]} {types[k]}" for k in back))
+    return out.toDF(*[df.columns[k] for k in kept], *kinds)
 
 
 class WordHash(dict):

@@ -7,12 +7,15 @@ document is emitted once for each integer boundary that its interval crosses: fl
 The order by size keeps the taken words near the target, since each size class is sampled evenly.
 
 Ranks come from three windows over bounded partitions: size classes within a source (at most some hundred rows), salts
-within a class (``salts`` rows) and rows within a salt, so that no source, however large, is sorted by one task.
+within a class (``salts`` rows) and rows within a salt, so that no source, however large, is sorted by one task. A salt
+follows from id and text, so rows without an id are spread as others are. Texts are split into words once, into a narrow
+table of keys; targets and ranks come from it.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; an empty table gives an empty
-result; repeated rows are sampled each on its own; other columns pass through, and clashing names are kept apart by
-the reserved prefix ``_mx_``; a source of size 0 has target 0 and its documents are not taken. Reruns agree: order and
-offset depend on ids, texts and the seed alone.
+result; rows equal in id, source and text have places one after another, are counted before the shuffle, and come out
+of ``mixed_documents`` as copies of one of them; other columns pass through it, whatever their names; a source of size 0
+has target 0 and its documents are not taken.
+Reruns agree: order and offset depend on ids, texts and the seed alone.
 """
 
 from __future__ import annotations
@@ -20,101 +23,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from .common import fresh, quoted, stored
 
 #: Rows of one salt that a task sorts at most, if all rows are alike.
 ROWS_PER_SALT = 400_000
+#: Salts at least.
+SALTS = 128
 
 
 def n_words(col: str = "text") -> Column:
     """Number of words between the six ASCII white-space characters, null: 0."""
-    return F.coalesce(F.regexp_count(F.col(col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(quoted(col)), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max_repeat: int = 2) -> DataFrame:
-    """``sizes`` (_mx_source, _mx_total) with weight and target of each source; one row for each source.
+    """``sizes`` (source, total) with the target of each source; one row for each source.
 
     Filling up: with sources in order of cap / weight, the first k are at their cap, where k is the largest number for
     which the level of the rest still reaches the k-th one's cap. That is the end state of sharing the excess again
     and again by weight. All sums are of whole numbers, so that reruns agree to the last bit.
     """
-    order = Window.orderBy(F.col("_mx_source").asc_nulls_last())
+    order = Window.orderBy(F.col("source").asc_nulls_last())
     pick = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    s = sizes.withColumn("_mx_weight", pick.cast("long")).withColumn("_mx_cap", max_repeat * F.col("_mx_total"))
-    fill = Window.orderBy(F.col("_mx_cap") / F.col("_mx_weight"), F.col("_mx_source").asc_nulls_last())
-    s = (
-        s.withColumn("_mx_want", F.lit(budget) * F.sum("_mx_total").over(Window.partitionBy()))
-        .withColumn("_mx_cap_before", F.coalesce(F.sum("_mx_cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_mx_weight_left", F.sum("_mx_weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    )
-    level = (F.col("_mx_want") - F.col("_mx_cap_before")) / F.col("_mx_weight_left")
-    s = s.withColumn("_mx_level", level)
+    s = sizes.withColumn("weight", pick.cast("long")).withColumn("cap", max_repeat * F.col("total"))
+    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    want = F.lit(budget) * F.sum("total").over(Window.partitionBy())
+    full = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumns({"want": want, "full": full, "rest": F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))})
+    s = s.withColumn("level", (F.col("want") - F.col("full")) / F.col("rest"))
     # the level after all sources at their cap: the first that doesn't reach its cap
-    s = s.withColumn("_mx_end", F.min(F.when(F.col("_mx_level") * F.col("_mx_weight") <= F.col("_mx_cap"), F.col("_mx_level"))).over(Window.partitionBy()))
-    target = F.when(F.col("_mx_level") * F.col("_mx_weight") <= F.col("_mx_cap"), F.col("_mx_end") * F.col("_mx_weight")).otherwise(F.col("_mx_cap").cast("double"))
-    return s.withColumn("_mx_target", target).select("_mx_source", "_mx_total", "_mx_weight", "_mx_target")
-
-
-def mix(
-    docs: DataFrame,
-    source: str = "source",
-    doc_id: str = "doc_id",
-    text: str = "text",
-    weights=(3, 1, 2),
-    budget: float = 1.5,
-    max_repeat: int = 2,
-    seed: str = "mix-1",
-    keep: list[str] | None = None,
-) -> DataFrame:
-    """One row for each input row: the columns ``keep`` (all by default) and _mx_size, _mx_total, _mx_target, _mx_copies."""
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col(source).alias("_mx_source"),
-        n_words(text).alias("_mx_size"),
-        F.col(doc_id).alias("_mx_id"),
-        F.xxhash64(text).alias("_mx_tie"),
-    )
-    rows = rows.withColumn("_mx_class", F.floor(4 * F.log2(F.col("_mx_size") + F.lit(1.0))).cast("int"))
-    light = docs.select(F.col(source).alias("_mx_source"), n_words(text).alias("_mx_size"), F.col(doc_id).alias("_mx_id"))
-    light = light.withColumn("_mx_class", F.floor(4 * F.log2(F.col("_mx_size") + F.lit(1.0))).cast("int"))
-    total = docs.select(F.count(F.lit(1))).first()[0]
-    salts = max(128, -(-total // ROWS_PER_SALT))
-    salt = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_mx_id").cast("string"), F.lit("-")))), 1, 8), 16, 10).cast("long"), F.lit(salts))
-    rows, light = rows.withColumn("_mx_salt", salt), light.withColumn("_mx_salt", salt)
-
-    cells = light.groupBy("_mx_source", "_mx_class", "_mx_salt").agg(F.count(F.lit(1)).alias("_mx_n"), F.sum("_mx_size").alias("_mx_words"))
-    classes = cells.groupBy("_mx_source", "_mx_class").agg(F.sum("_mx_n").alias("_mx_n"), F.sum("_mx_words").alias("_mx_words"))
-    up_to = lambda w: F.coalesce(F.sum("_mx_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_class = Window.partitionBy("_mx_source").orderBy("_mx_class")
-    by_salt = Window.partitionBy("_mx_source", "_mx_class").orderBy("_mx_salt")
-    sizes = classes.groupBy("_mx_source").agg(F.sum("_mx_words").alias("_mx_total"))
-    targets = source_targets(sizes, weights, budget, max_repeat)
-    same = lambda a, b, names: [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names]
+    below = F.col("level") * F.col("weight") <= F.col("cap")
+    s = s.withColumn("end", F.min(F.when(below, F.col("level"))).over(Window.partitionBy()))
+    return s.select("source", "total", F.when(below, F.col("end") * F.col("weight")).otherwise(F.col("cap").cast("double")).alias("target"))
+
+
+def mix_keys(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", weights=(3, 1, 2), budget: float = 1.5, max_repeat: int = 2, seed: str = "mix-1") -> DataFrame:
+    """A row for each document, that is, id, source and text: doc_id, source, tie (a hash of the text), size, total (of the
+    source), target, rows (how many have it) and copies (an array: what each of these takes)."""
+    hexadecimal = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("long")
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(source)).alias("source"), n_words(text).alias("size"), F.md5(F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary")).alias("tie"))
+    rows = stored(rows.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("rows")), "mix-keys")
+    salts = max(SALTS, -(-(rows.agg(F.sum("rows")).first()[0] or 0) // ROWS_PER_SALT))
+    h = hexadecimal(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "tie")))
+    rows = rows.withColumns({"class": F.floor(4 * F.log2(F.col("size") + F.lit(1.0))).cast("int"), "salt": h % F.lit(salts)})
+
+    cells = rows.groupBy("source", "class", "salt").agg(F.sum("rows").alias("n"), F.sum(F.col("size") * F.col("rows")).alias("words"))
+    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("total")), weights, budget, max_repeat)
+    up_to = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def joined(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-        cond = same("l", "r", names)
-        on = cond[0]
-        for c in cond[1:]:
-            on = on & c
-        rest = [F.col(f"r.{c}") for c in right.columns if c not in names]
-        return left.alias("l").join(right.alias("r"), on).select("l.*", *rest)
-
-    classes = classes.withColumn("_mx_class_from", up_to(by_class)).select("_mx_source", "_mx_class", "_mx_class_from")
-    classes = joined(classes, targets, ["_mx_source"])
-    cells = cells.withColumn("_mx_salt_from", up_to(by_salt)).select("_mx_source", "_mx_class", "_mx_salt", "_mx_salt_from")
-    cells = joined(cells, classes, ["_mx_source", "_mx_class"])
-    rank = F.row_number().over(Window.partitionBy("_mx_source", "_mx_class", "_mx_salt").orderBy("_mx_size", "_mx_id", "_mx_tie"))
-    rows = joined(rows.withColumn("_mx_rank", rank), cells, ["_mx_source", "_mx_class", "_mx_salt"])
-    offset = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_mx_source"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rate = F.when(F.col("_mx_total") > 0, F.col("_mx_target") / F.col("_mx_total")).otherwise(F.lit(0.0))
-    at = (F.col("_mx_class_from") + F.col("_mx_salt_from") + F.col("_mx_rank")).cast("double")
-    rows = rows.withColumn("_mx_copies", (F.floor(offset + rate * at) - F.floor(offset + rate * (at - F.lit(1.0)))).cast("long"))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "_mx_size", "_mx_total", "_mx_target", "_mx_copies")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+        on = F.lit(True)
+        for n in names:
+            on = on & F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}"))
+        return left.alias("l").join(right.alias("r"), on).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in names])
+
+    classes = classes.withColumn("class_from", up_to("n", Window.partitionBy("source").orderBy("class"))).select("source", "class", "class_from")
+    cells = cells.withColumn("salt_from", up_to("n", Window.partitionBy("source", "class").orderBy("salt"))).select("source", "class", "salt", "salt_from")
+    cells = joined(cells, joined(classes, targets, ["source"]), ["source", "class"])
+    rank = up_to("rows", Window.partitionBy("source", "class", "salt").orderBy("size", "doc_id", "tie"))
+    rows = joined(rows.withColumn("rank", rank), cells, ["source", "class", "salt"])
+    offset = hexadecimal(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("source"), F.lit(""))))).cast("double") / F.lit(4294967296.0)
+    rate = F.when(F.col("total") > 0, F.col("target") / F.col("total")).otherwise(F.lit(0.0))
+    rows = rows.withColumns({"offset": offset, "rate": rate, "before": F.col("class_from") + F.col("salt_from") + F.col("rank")})
+
+    def crossed(k):
+        at = (F.col("before") + k).cast("double")
+        return (F.floor(F.col("offset") + F.col("rate") * at) - F.floor(F.col("offset") + F.col("rate") * (at - F.lit(1.0)))).cast("long")
+
+    return rows.select("doc_id", "source", "tie", "size", "total", "target", "rows", F.transform(F.sequence(F.lit(1).cast("long"), "rows"), crossed).alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    out = mix(docs, **options)
-    times = F.explode(F.sequence(F.lit(1), F.col("_mx_copies").cast("int")))
-    return out.where("_mx_copies > 0").withColumn("_mx_copy", times).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own_id, own_source, own_tie, times, time, one = fresh(docs.columns, "own_id", "own_source", "own_tie", "times", "time", "one")
+    copies = F.aggregate("copies", F.lit(0).cast("long"), lambda a, x: a + x).cast("int")
+    taken = mix_keys(docs, source, doc_id, text, **options).select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("tie").alias(own_tie), F.col("rows").alias(one), copies.alias(times)).where(F.col(times) > 0)
+    tie = F.md5(F.coalesce(F.col(quoted(text)), F.lit("")).cast("binary"))
+    on = F.col(quoted(doc_id)).eqNullSafe(F.col(own_id)) & F.col(quoted(source)).eqNullSafe(F.col(own_source)) & (tie == F.col(own_tie))
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    alone = docs.join(taken.where(F.col(one) == 1), on).select(*columns, times)
+    # of equal rows one is enough: chosen before the shuffle, so none of them meet
+    equal = docs.join(taken.where(F.col(one) > 1), on).groupBy(own_id, own_source, own_tie).agg(F.first(F.struct(*columns, times)).alias(one)).select(f"{one}.*")
+    return alone.unionByName(equal).withColumn(time, F.explode(F.sequence(F.lit(1), times))).select(*columns)

@@ -12,8 +12,8 @@ packs and unpacks whole scans at once. Scans of any other file take the bit read
 Huffman streams with 8-bit samples.
 
 Defined cases: null text is empty, and an empty text is one block of zeros; equal texts give equal values; other
-columns pass through ``decode_media``; null media gives a null tensor; empty tables and repeated rows need nothing
-special; a text of any length is stored whole, as long as the image's sides fit JPEG's 65,535 (about 6 GB).
+columns pass through ``decode_media``, whatever their names; null media, and media that are truncated, corrupt or no
+progressive JPEG, give null height, width and tensor; empty tables and repeated rows need nothing special; a text of any length is stored whole, as long as the image's sides fit JPEG's 65,535 (about 6 GB).
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, with_columns
+
 BLOCK = 64
 #: Horizontal and vertical sampling of Y, Cb, Cr, and their blocks in an MCU of 16 x 16 pixels.
 SAMPLING = ((2, 2), (1, 1), (1, 1))
@@ -127,7 +129,9 @@ class Bits:
 
     def one(self) -> int:
         self.at += 1
-        return self.bits[self.at - 1] if self.at <= len(self.bits) else 0
+        if self.at > len(self.bits):
+            raise ValueError("the scan ends early")
+        return self.bits[self.at - 1]
 
     def many(self, n: int) -> int:
         value = 0
@@ -191,6 +195,7 @@ class Progressive:
                 self.comments.append(body)
             elif marker in (0xC0, 0xC1, 0xC3):
                 raise ValueError("not a progressive file")
+        raise ValueError("the file ends early")
 
     def frame(self, body: bytes) -> None:
         bits, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
@@ -230,7 +235,7 @@ class Progressive:
         if dc and ah:
             if self.restart:
                 return False
-            bits = np.unpackbits(np.frombuffer(coded.replace(b"\xff\x00", b"\xff"), np.uint8), count=n)
+            bits = np.unpackbits(self.enough(coded, n), count=n)
             c.coef[:, 0] |= bits.astype(np.int32) << al
             return True
         table = self.huffman[(tables >> 4) if dc else 16 | tables & 15]
@@ -247,7 +252,8 @@ class Progressive:
             return True
         if self.restart:
             return False
-        raw, band = np.frombuffer(coded.replace(b"\xff\x00", b"\xff"), np.uint8), high - low + 1
+        band = high - low + 1
+        raw = self.enough(coded, n * (length + (band if ah else 8 * band - length)))
         if not ah and 0 < symbol and length + symbol == 8:
             c.coef[:, low : high + 1] = self.valued(raw[: n * band], symbol).reshape(n, band) * (1 << al)
             return True
@@ -258,6 +264,14 @@ class Progressive:
             return True
         return False
 
+    @staticmethod
+    def enough(coded: bytes, bits: int) -> np.ndarray:
+        """The bytes of a scan that has at least so many bits."""
+        raw = np.frombuffer(coded.replace(b"\xff\x00", b"\xff"), np.uint8)
+        if 8 * raw.size < bits:
+            raise ValueError("the scan ends early")
+        return raw
+
     @staticmethod
     def valued(raw: np.ndarray, size: int) -> np.ndarray:
         """Values of a size category from their bits, the low ones of ``raw``."""
@@ -371,41 +385,36 @@ def padded(data: bytes) -> bytes:
 
 def pack_texts(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """``docs`` with the text's UTF-8 bytes, padded, as a progressive JPEG in column ``media``."""
+    docs = docs.drop(media)
+    at = docs.columns.index(text)
+    packed = lambda columns: [pa.array([pack(padded((t or "").encode())) for t in columns[at].to_pylist()], pa.binary())]
+    return with_columns(docs, lambda: packed, 64, **{media: "binary"})
 
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                made = pa.array([pack(padded((t or "").encode())) for t in part.column(at).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, media])
 
-    docs = docs.drop(media)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{media}` binary")
+def tensor(data: bytes | None) -> np.ndarray | None:
+    """The picture of a file; none if it can't be read."""
+    try:
+        return None if data is None else Progressive(data).rgb()
+    except (ValueError, LookupError, AttributeError, StopIteration, struct.error):  # what broken segments lead to
+        return None
 
 
 def decode_media(rows: DataFrame, media: str = "media") -> DataFrame:
     """``rows`` with height, width and tensor (row-major RGB bytes) of the JPEG in column ``media``."""
+    rows = rows.drop("height", "width", "tensor")
+    at = rows.columns.index(media)
 
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index(media)
-            for start in range(0, batch.num_rows, 16):
-                part = batch.slice(start, 16)
-                out = [Progressive(d).rgb() if d is not None else None for d in part.column(at).to_pylist()]
-                more = [pa.array([None if o is None else o.shape[k] for o in out], pa.int32()) for k in (0, 1)]
-                more.append(pa.array([None if o is None else o.tobytes() for o in out], pa.binary()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "height", "width", "tensor"])
+    def decoded(columns):
+        out = [tensor(d) for d in columns[at].to_pylist()]
+        sides = [pa.array([None if o is None else o.shape[k] for o in out], pa.int32()) for k in (0, 1)]
+        return [*sides, pa.array([None if o is None else o.tobytes() for o in out], pa.binary())]
 
-    rows = rows.drop("height", "width", "tensor")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, height int, width int, tensor binary")
+    return with_columns(rows, lambda: decoded, 16, height="int", width="int", tensor="binary")
 
 
 def media_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text stored, read back and described; the tensors themselves stay on the workers."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches):
