@@ -15,7 +15,7 @@ from plumbline.llm.queries import byte_vocabulary, table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    return site_quality.keep_good(docs, site_quality.bad_labels(table(spark, sf_dir, "labels")))
+    return site_quality.keep_good(docs, site_quality.bad_labels(table(spark, sf_dir, "labels")), site_quality.page_sites(table(spark, sf_dir, "pages")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
