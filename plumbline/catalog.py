@@ -23,18 +23,63 @@ class Check:
     alias_of: str | None = None
 
 
-# Names, levels, categories and aliases of the checks, in the catalog's order.
-_ROWS = """
-completeness is_complete are_complete
-uniqueness is_unique are_unique is_primary_key=is_unique is_composite_key=are_unique
-comparison is_equal is_equal_than is_between is_greater_than is_less_than is_greater_or_equal_than is_less_or_equal_than is_positive is_negative is_in_millions is_in_billions
-membership is_contained_in not_contained_in is_in=is_contained_in not_in=not_contained_in
-pattern has_pattern is_legit
-date is_today is_t_minus_1 is_t_minus_2 is_t_minus_3 is_yesterday=is_t_minus_1 is_past_date is_future_date is_date_between is_date_after is_date_before is_on_weekday is_on_weekend is_on_monday is_on_tuesday is_on_wednesday is_on_thursday is_on_friday is_on_saturday is_on_sunday validate_date_format all_date_checks
-sql satisfies
-aggregation has_min has_max has_sum has_mean has_std has_cardinality has_entropy has_infogain
-schema validate_schema
-"""
+# Names, categories and aliases of the checks, in the catalog's order.
+_ROWS = (
+    ("is_complete", "completeness", None),
+    ("are_complete", "completeness", None),
+    ("is_unique", "uniqueness", None),
+    ("are_unique", "uniqueness", None),
+    ("is_primary_key", "uniqueness", "is_unique"),
+    ("is_composite_key", "uniqueness", "are_unique"),
+    ("is_equal", "comparison", None),
+    ("is_equal_than", "comparison", None),
+    ("is_between", "comparison", None),
+    ("is_greater_than", "comparison", None),
+    ("is_less_than", "comparison", None),
+    ("is_greater_or_equal_than", "comparison", None),
+    ("is_less_or_equal_than", "comparison", None),
+    ("is_positive", "comparison", None),
+    ("is_negative", "comparison", None),
+    ("is_in_millions", "comparison", None),
+    ("is_in_billions", "comparison", None),
+    ("is_contained_in", "membership", None),
+    ("not_contained_in", "membership", None),
+    ("is_in", "membership", "is_contained_in"),
+    ("not_in", "membership", "not_contained_in"),
+    ("has_pattern", "pattern", None),
+    ("is_legit", "pattern", None),
+    ("is_today", "date", None),
+    ("is_t_minus_1", "date", None),
+    ("is_t_minus_2", "date", None),
+    ("is_t_minus_3", "date", None),
+    ("is_yesterday", "date", "is_t_minus_1"),
+    ("is_past_date", "date", None),
+    ("is_future_date", "date", None),
+    ("is_date_between", "date", None),
+    ("is_date_after", "date", None),
+    ("is_date_before", "date", None),
+    ("is_on_weekday", "date", None),
+    ("is_on_weekend", "date", None),
+    ("is_on_monday", "date", None),
+    ("is_on_tuesday", "date", None),
+    ("is_on_wednesday", "date", None),
+    ("is_on_thursday", "date", None),
+    ("is_on_friday", "date", None),
+    ("is_on_saturday", "date", None),
+    ("is_on_sunday", "date", None),
+    ("validate_date_format", "date", None),
+    ("all_date_checks", "date", None),
+    ("satisfies", "sql", None),
+    ("has_min", "aggregation", None),
+    ("has_max", "aggregation", None),
+    ("has_sum", "aggregation", None),
+    ("has_mean", "aggregation", None),
+    ("has_std", "aggregation", None),
+    ("has_cardinality", "aggregation", None),
+    ("has_entropy", "aggregation", None),
+    ("has_infogain", "aggregation", None),
+    ("validate_schema", "schema", None),
+)
 _TELLS = {
     "completeness": "values are present",
     "uniqueness": "values do not repeat",
@@ -50,13 +95,10 @@ _TELLS = {
 
 def _declared() -> dict[str, Check]:
     out = {}
-    for line in _ROWS.split("\n"):
-        category, *names = line.split() or [""]
-        for item in names:
-            name, _, target = item.partition("=")
-            table = category in ("aggregation", "schema")
-            batch = table or category in ("uniqueness", "sql")
-            out[name] = Check(name, TABLE if table else ROW, category, f"{name}: {_TELLS[category]}", BATCH_ONLY if batch else ANY_ENGINE, target or None)
+    for name, category, target in _ROWS:
+        table = category in ("aggregation", "schema")
+        batch = table or category in ("uniqueness", "sql")
+        out[name] = Check(name, TABLE if table else ROW, category, f"{name}: {_TELLS[category]}", BATCH_ONLY if batch else ANY_ENGINE, target)
     return out
 
 

@@ -9,21 +9,22 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .. import messages
 from ..catalog import RuleError
 from ..rules import truthy
 
 # The spellings of types that a contract may use, by canonical class.
 _SPELLINGS = {
-    "integer": "byte tinyint short smallint integer int long bigint",
-    "float": "float double decimal",
-    "string": "string varchar char",
-    "binary": "binary",
-    "boolean": "boolean",
-    "datetime": "date timestamp timestamp_ntz datetime",
-    "array": "array",
-    "complex": "struct map complex",
+    "integer": ("byte", "tinyint", "short", "smallint", "integer", "int", "long", "bigint"),
+    "float": ("float", "double", "decimal"),
+    "string": ("string", "varchar", "char"),
+    "binary": ("binary",),
+    "boolean": ("boolean",),
+    "datetime": ("date", "timestamp", "timestamp_ntz", "datetime"),
+    "array": ("array",),
+    "complex": ("struct", "map", "complex"),
 }
-TYPE_NAMES = {name: kind for kind, names in _SPELLINGS.items() for name in names.split()}
+TYPE_NAMES = {name: kind for kind, names in _SPELLINGS.items() for name in names}
 
 
 @dataclass(frozen=True)
@@ -132,46 +133,64 @@ def extract_schema(df: DataFrame) -> dict[str, dict[str, Any]]:
 
 
 def check_schema(df: DataFrame, contract: SchemaContract) -> SchemaReport:
-    report = SchemaReport()
+    """The contract's columns, nested ones by their paths, each against what the schema says of it."""
     actual = extract_schema(df)
-    _compare(contract.columns, actual, "", report)
+    report = SchemaReport()
+    for path, wanted, facts in _pairs(contract.columns, actual):
+        if facts is None:
+            if not wanted.is_optional:
+                report.missing_columns.append(path)
+            continue
+        for kind, verdicts in ((report.type_errors, TYPE_CHECKS), (report.metadata_errors, METADATA_CHECKS)):
+            if kind is report.metadata_errors and verdict_of(TYPE_CHECKS[:1], wanted, facts):
+                continue  # what has the wrong type has no other verdict
+            if note := verdict_of(verdicts, wanted, facts):
+                kind[path] = note
     if contract.strict_columns:
-        wanted = {c.name for c in contract.columns}
-        report.extra_columns += [c for c in df.columns if c not in wanted]
+        named = {c.name for c in contract.columns}
+        report.extra_columns += [c for c in actual if c not in named]
     return report
 
 
-def _compare(contracts, actual: dict[str, dict[str, Any]], above: str, report: SchemaReport) -> None:
+def _pairs(contracts, actual: dict[str, dict[str, Any]], above: str = ""):
+    """(path, contract, facts or None) of columns, and of the fields of those whose type fits."""
     for c in contracts:
-        path, facts = above + c.name, actual.get(c.name)
-        if facts is None:
-            if not c.is_optional:
-                report.missing_columns.append(path)
-            continue
-        wrong = _type_error(c, facts)
-        if wrong:
-            report.type_errors[path] = wrong
-            continue
-        element = facts.get("element_type")
-        if c.element_type is not None and element is not None and c.element_type.lower() != element:
-            report.type_errors[path] = f"Array element type mismatch: expected {c.element_type}, got {element}"
-        comment = facts["comment"].strip()
-        notes = [
-            (c.require_comment and not comment, "Missing required column comment"),
-            (c.expected_comment is not None and c.expected_comment != comment, f"Comment mismatch. Expected: '{c.expected_comment}'"),
-            (not c.nullable and facts["nullable"], "Schema violation: contract requires NOT NULL but column allows nulls"),
-        ]
-        for broken, note in notes:  # the last one that is broken stands
-            if broken:
-                report.metadata_errors[path] = note
-        if c.fields is not None and "nested_fields" in facts:
-            _compare(c.fields, facts["nested_fields"], path + ".", report)
-
-
-def _type_error(c: ColumnContract, facts: dict[str, Any]) -> str | None:
-    want, got = type_class(c.type), facts["canonical_type"]
-    if want == "unknown":
-        return f"Unknown expected type '{c.type}'. Valid: {', '.join(sorted(TYPE_NAMES))}"
-    if got == "unknown":
-        return f"Spark type '{facts['raw_type']}' has no canonical mapping"
-    return None if want == got else f"Expected {want}, got {got} ({facts['raw_type']})"
+        facts = actual.get(c.name)
+        yield above + c.name, c, facts
+        if facts and c.fields is not None and "nested_fields" in facts and not class_differs(c, facts):
+            yield from _pairs(c.fields, facts["nested_fields"], f"{above}{c.name}.")
+
+
+def verdict_of(checks, wanted: ColumnContract, facts: dict[str, Any]) -> str | None:
+    """What the first of ``checks`` that is violated says."""
+    return next(filter(None, (check(wanted, facts) for check in checks)), None)
+
+
+def class_differs(wanted: ColumnContract, facts: dict[str, Any]) -> str | None:
+    want, got, raw = type_class(wanted.type), facts["canonical_type"], facts["raw_type"]
+    if "unknown" in (want, got):
+        return messages.CONTRACT_UNMAPPED.format(raw=raw) if want != "unknown" else messages.CONTRACT_UNKNOWN.format(type=wanted.type, known=", ".join(sorted(TYPE_NAMES)))
+    return None if want == got else messages.CONTRACT_TYPE.format(want=want, got=got, raw=raw)
+
+
+def element_differs(wanted: ColumnContract, facts: dict[str, Any]) -> str | None:
+    want, got = wanted.element_type, facts.get("element_type")
+    return None if want is None or got is None or want.lower() == got else messages.CONTRACT_ELEMENT.format(want=want, got=got)
+
+
+def nulls_allowed(wanted: ColumnContract, facts: dict[str, Any]) -> str | None:
+    return messages.CONTRACT_NULLS if facts["nullable"] and not wanted.nullable else None
+
+
+def comment_differs(wanted: ColumnContract, facts: dict[str, Any]) -> str | None:
+    want = wanted.expected_comment
+    return None if want in (None, facts["comment"].strip()) else messages.CONTRACT_COMMENT.format(want=want)
+
+
+def comment_missing(wanted: ColumnContract, facts: dict[str, Any]) -> str | None:
+    return messages.CONTRACT_NO_COMMENT if wanted.require_comment and not facts["comment"].strip() else None
+
+
+#: In order of weight: the first one that is violated is reported.
+TYPE_CHECKS = (class_differs, element_differs)
+METADATA_CHECKS = (nulls_allowed, comment_differs, comment_missing)

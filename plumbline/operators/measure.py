@@ -21,7 +21,7 @@ GROUPED = ("has_cardinality", "has_entropy", "has_infogain")
 def fused(df: DataFrame, violations: list[Column], scalars: list[tuple[str, str]]) -> tuple[int, list[int], list]:
     """(rows, violating rows of each predicate, value of each (check, field)) from a single aggregation."""
     cols = [F.count(F.lit(1)).alias("total")]
-    cols += [F.coalesce(F.sum(F.when(v, 1).otherwise(0)), F.lit(0)).alias(f"v{i}") for i, v in enumerate(violations)]
+    cols += [F.count_if(v).alias(f"v{i}") for i, v in enumerate(violations)]
     cols += [SCALARS[check](named(field)).alias(f"s{i}") for i, (check, field) in enumerate(scalars)]
     row = df.agg(*cols).first()
     return row[0], list(row[1 : 1 + len(violations)]), list(row[1 + len(violations) :])
@@ -48,17 +48,13 @@ def duplicate_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return counts.where("n > 1")
 
 
-def duplicate_rows(df: DataFrame, keys: tuple[str, ...]) -> int:
-    return duplicate_keys(df, keys).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-def marked_duplicates(df: DataFrame, keys: tuple[str, ...], flag: str) -> DataFrame:
-    """``df`` with a boolean column: whether another row has the same keys.
+def marked_duplicates(df: DataFrame, keys: tuple[str, ...], dup: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean column: whether another row has the same keys; ``dup`` are the repeated ones.
 
     A join with the repeated keys, not a window: the keys are counted before they are shuffled, few of them repeat as
     a rule, so Spark may broadcast them by their measured size, and a hot key's rows can be split over tasks.
     """
-    dup = duplicate_keys(df, keys).select(*[F.col(f"k{i}").alias(f"{flag}_k{i}") for i in range(len(keys))], F.lit(True).alias(flag))
+    dup = dup.select(*[F.col(f"k{i}").alias(f"{flag}_k{i}") for i in range(len(keys))], F.lit(True).alias(flag))
     cond = F.lit(True)
     for i, k in enumerate(keys):
         cond = cond & named(k).eqNullSafe(F.col(f"{flag}_k{i}"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import cached_property
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
+from . import messages
 from .catalog import TABLE, RuleError
 from .rules import Rule, decimal_text
 
@@ -60,18 +63,18 @@ def _about(rule: Rule, **more) -> dict[str, Any]:
 
 
 def skipped(rule: Rule, reason: str) -> Result:
-    return Result(**_about(rule, status=SKIPPED, message=f"Skipped: {reason}"))
+    return Result(**_about(rule, status=SKIPPED, message=messages.SKIPPED.format(reason=reason)))
 
 
 def error(rule: Rule, why: str) -> Result:
-    return Result(**_about(rule, status=ERROR, message=f"Error: {why}"))
+    return Result(**_about(rule, status=ERROR, message=messages.ERROR.format(why=why)))
 
 
 def judged_rate(rule: Rule, metric: Metric) -> Result:
     """ROW rules: the share of passing rows against the threshold."""
     rate, ok = metric.value, metric.value >= rule.threshold
-    name = {"completeness": "Completeness", "uniqueness": "Uniqueness"}.get(rule.category, f"{rule.check_type} pass rate")
-    message = None if ok else f"{name} {100 * rate:.2f}% below threshold {100 * rule.threshold:.2f}%"
+    name = messages.RATE_NAMES.get(rule.category) or messages.RATE_OF.format(check=rule.check_type)
+    message = None if ok else messages.RATE_BELOW.format(name=name, rate=100 * rate, threshold=100 * rule.threshold)
     return Result(**_about(rule, status=PASS if ok else FAIL, pass_rate=rate, expected=rule.threshold, actual=rate, message=message, metadata=metric.metadata))
 
 
@@ -85,21 +88,30 @@ def judged_value(rule: Rule, metric: Metric) -> Result:
         ok = got == want
     else:
         ok = abs(got - want) <= rule.tolerance * (abs(want) if want else 1.0)
-    message = None if ok else f"{rule.check_type}: expected {decimal_text(want)} but got {decimal_text(got)}"
+    message = None if ok else messages.VALUE_DIFFERS.format(check=rule.check_type, want=decimal_text(want), got=decimal_text(got))
     return Result(**_about(rule, level=TABLE, status=PASS if ok else FAIL, expected=want, actual=got, message=message, metadata=metric.metadata))
 
 
 def judged_schema(rule: Rule, metric: Metric) -> Result:
     ok = metric.metadata.get("passed") is True
-    message = None if ok else f"validate_schema: schema does not match contract ({metric.metadata.get('total_issues', 0)} issues)"
+    message = None if ok else messages.SCHEMA_DIFFERS.format(issues=metric.metadata.get("total_issues", 0))
     return Result(**_about(rule, level=TABLE, field="*", status=PASS if ok else FAIL, actual=1.0 if ok else 0.0, message=message, metadata=metric.metadata))
 
 
 class Validated:
-    """A dataset with its error and skip columns."""
+    """A dataset with its error and skip columns, made when it is first asked for."""
 
-    def __init__(self, df: DataFrame, keep_errors_in_good: bool = False, is_bad=None):
-        self.df, self._keep, self._is_bad = df, keep_errors_in_good, is_bad
+    def __init__(self, make: DataFrame | Callable[[], tuple[DataFrame, Column | None]], keep_errors_in_good: bool = False, is_bad: Column | None = None, held: tuple[DataFrame, ...] = ()):
+        self._make = make if callable(make) else lambda: (make, is_bad)
+        self._keep, self._held = keep_errors_in_good, held
+
+    @cached_property
+    def _made(self) -> tuple[DataFrame, Column | None]:
+        return self._make()
+
+    @property
+    def df(self) -> DataFrame:
+        return self._made[0]
 
     @property
     def columns(self) -> list[str]:
@@ -115,11 +127,18 @@ class Validated:
         """(good, bad): rows without and with errors; a null error column counts as none."""
         from .operators.annotate import has_errors
 
-        if error_column not in self.df.columns:
+        df, bad = self._made
+        if error_column not in df.columns:
             raise RuleError(f"no column '{error_column}' to split by")
-        bad = has_errors(self.df, error_column) if self._is_bad is None else self._is_bad
-        good = self.df.where(~bad)
-        return (good if self._keep else good.drop(error_column)), self.df.where(bad)
+        if bad is None:
+            bad = has_errors(df, error_column)
+        good = df.where(~bad)
+        return (good if self._keep else good.drop(error_column)), df.where(bad)
+
+    def release(self) -> None:
+        """Let go of the repeated keys that uniqueness rules keep for the dataset; it can still be read."""
+        for df in self._held:
+            df.unpersist()
 
 
 @dataclass(frozen=True)

@@ -93,16 +93,27 @@ class Rule:
         return f"RuleDef(field={self.field_name}, check={self.check_type}, level={self.level}, category={self.category}{more})"
 
 
+def _unquoted(text: str) -> str:
+    """Without one quote of either kind at each end."""
+    for quote in "\"'":
+        text = text.removeprefix(quote).removesuffix(quote)
+    return text
+
+
 def parse_field(v: Any) -> str | tuple[str, ...]:
-    """A list, ``[a,b]``, ``a,b`` or a bare name; a single element is a plain name."""
+    """A list, ``[a,b]``, ``a,b`` or a bare name, quoted as a whole or not; a single element is a plain name. In brackets
+    names may be quoted, and commas within quotes are theirs."""
     if isinstance(v, (list, tuple)):
         parts = [str(x).strip() for x in v]
     else:
-        text = str(v).strip()
+        text = _unquoted(str(v).strip()).strip()
         if text.startswith("[") and text.endswith("]"):
-            text = text[1:-1]
-        parts = [p.strip().strip("\"'") for p in text.split(",")]
-    parts = [p for p in parts if p] or [""]
+            parts = [_unquoted(p.strip()) for p in split_top_level(text[1:-1].strip())]
+        else:
+            parts = [p.strip() for p in text.split(",")]
+            while len(parts) > 1 and not parts[-1]:  # a comma at the end begins nothing
+                parts.pop()
+    parts = parts or [""]
     return parts[0] if len(parts) == 1 else tuple(parts)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 from datetime import date
 from typing import Any
 
@@ -37,7 +38,7 @@ def csv_cells(line: str) -> list[str]:
 
 def from_csv(text: str) -> list[Rule]:
     """A header, then one rule on each line that isn't blank; empty cells are left out, extra columns are metadata."""
-    lines = [x for x in text.splitlines() if x.strip()]
+    lines = [x for x in re.split(r"\r?\n", text) if x.strip()]  # other separators may stand in cells
     if not lines:
         return []
     names = csv_cells(lines[0])

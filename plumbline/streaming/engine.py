@@ -12,13 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..catalog import ROW, TABLE
+from ..messages import STREAM_NOTE
 from ..operators.annotate import ERRORS, SKIPPED, error_array, error_struct, skip_text
 from ..operators.validate import FAILURES, bound, reject_reserved, why
 from ..results import PASS, Report, Result, Validated, error, skipped
 from ..rules import Rule, level_name
 
 STREAM = "spark-streaming"
-NOTE = "pass rate is not computable in streaming"
 
 
 def validate_stream(df: DataFrame, rules: list[Rule]) -> Report:
@@ -36,7 +36,7 @@ def validate_stream(df: DataFrame, rules: list[Rule]) -> Report:
         except FAILURES as e:
             results.append(error(r, why(e)))
             continue
-        result = Result(r.check_type, r.field_name, PASS, r.level, r.category, expected=r.threshold, message=NOTE, metadata={"note": NOTE})
+        result = Result(r.check_type, r.field_name, PASS, r.level, r.category, expected=r.threshold, message=STREAM_NOTE, metadata={"note": STREAM_NOTE})
         results.append(result)
         entries.append((v, error_struct(result)))
     out = df.withColumns({ERRORS: error_array(entries), SKIPPED: skip_text(skips)})

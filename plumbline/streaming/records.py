@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..catalog import ROW, TABLE, RuleError
 from ..functions.predicates import COMPARES, as_date, date_violation, named, need_list, need_pair, need_text, violation
+from ..messages import RECORDS_TABLE
 from ..operators.annotate import ERRORS, SKIPPED, skip_text
 from ..results import PASS, Report, Result, Validated, skipped
 from ..rules import Rule, level_name, tagged
 
 ENGINE = "flink-streaming"
-TABLE_REASON = "TABLE-level rules are not supported in streaming"
 _ISO = r"^\d{4}-\d\d-\d\d$"
 _TYPE = "array<struct<rule_id:string,check_type:string,field:string,category:string,expected:string,actual:string,message:string,timestamp:string>>"
 
@@ -84,7 +84,7 @@ def validate_records(df: DataFrame, rules: list[Rule]) -> Report:
     for r in rules:
         if catalog.get(r.check_type) is None:
             raise RuleError(f"Unknown check type '{r.check_type}'")
-        reason = "execute=false" if not r.execute else TABLE_REASON if level_name(r.level) == TABLE else r.skip_reason(ROW, ENGINE)
+        reason = "execute=false" if not r.execute else RECORDS_TABLE if level_name(r.level) == TABLE else r.skip_reason(ROW, ENGINE)
         if reason is not None:
             skips.append((r.check_type, reason))
             results.append(skipped(r, reason))
