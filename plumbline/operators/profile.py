@@ -91,8 +91,8 @@ def distinct_counts(df: DataFrame) -> list[int]:
         c = named(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             c = F.when(F.isnan(c), F.lit(float("nan"))).otherwise(c + F.lit(0.0)).cast(f.dataType)
-        if "map<" in f.dataType.simpleString():  # maps have no hash
-            c = F.to_json(F.struct(c))
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):  # hashes pass over NULL in these, or have no maps
+            c = F.to_json(F.struct(c), {"ignoreNullFields": "false"})
         return F.when(named(f.name).isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit(_SECOND), c).alias("b")))
 
     pairs = [pair(i, f) for i, f in enumerate(df.schema.fields)]

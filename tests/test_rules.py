@@ -63,3 +63,14 @@ def test_skip_reasons():
     assert Rule.of("a", "is_complete", execute=False).skip_reason("ROW", "spark") == "execute=false"
     assert Rule.of("a", "has_min", 1).skip_reason("ROW", "spark") == "Wrong level: expected 'ROW', got 'TABLE'"
     assert Rule.of("a", "is_unique").skip_reason("ROW", "spark-streaming") == "Engine 'spark-streaming' not supported for rule 'is_unique'"
+
+
+@pytest.mark.parametrize("text,names", [("a", "a"), (" a , b ", ("a", "b")), ("[a,b]", ("a", "b")), ('"[a,b]"', ("a", "b")), ('["a,b",c]', ("a,b", "c")), ("'a'", "a"), ("[]", ""), ("", ""), ("a,", "a"), (["x", " y "], ("x", "y"))])
+def test_fields(text, names):
+    assert parse_field(text) == names
+
+
+def test_csv_lines_end_at_line_feeds_only():
+    cell = "one two\x85three\x0bfour"
+    rules = rule_text.from_csv(f'field,check_type,value\r\na,is_equal,"{cell}"\r\n\r\nb,is_complete,')
+    assert [r.field for r in rules] == ["a", "b"] and rules[0].value == cell

@@ -197,3 +197,76 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
     checked = {k.removeprefix("row_").removeprefix("table_") for k in e.queries()} | {"validate_schema"}
     assert set(CHECKS) <= checked and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_single_rules(basic):
+    import plumbline
+
+    metric = plumbline.analyze(basic, Rule.of("name", "is_complete", threshold=0.8, execute=False))
+    assert (metric.kind, metric.value, metric.metadata) == ("completeness", 0.8, {"null_count": 1, "total_count": 5})
+    assert plumbline.check(metric, Rule.of("name", "is_complete", threshold=0.8)).status == "PASS" and plumbline.check(metric, Rule.of("name", "is_complete")).status == "FAIL"
+    for check in CHECKS:
+        assert plumbline.analyzer(check) and plumbline.constraint(check)
+    assert plumbline.implemented() == sorted({c.alias_of or c.name for c in CHECKS.values()})
+    for make in (plumbline.analyzer, plumbline.constraint):
+        with pytest.raises(RuleError, match="is_complete"):
+            make("no_such_check")
+    with pytest.raises(RuleError):
+        plumbline.analyze(basic, Rule.of("nope", "is_unique"))
+    assert plumbline.analyze(basic, Rule.of("age", "has_sum", 1)).value == 147.0 and plumbline.analyze(basic, Rule.of(["status", "id"], "are_unique")).value == 1.0
+
+
+def test_single_rules_agree_with_reports(basic):
+    import plumbline
+
+    rules = [Rule.of("age", "is_between", [20, 36]), Rule.of("status", "is_unique"), Rule.of("age", "has_std", 1.0), Rule.of("status", "has_entropy", 1.0), Rule.of("*", "validate_schema", '{"id":"integer","name":"integer"}')]
+    for rule, result in zip(rules, validate(basic, rules).results):
+        alone = plumbline.check(plumbline.analyze(basic, rule), rule)
+        assert (alone.status, alone.actual, alone.message, alone.metadata) == (result.status, result.actual, result.message, result.metadata)
+
+
+def test_rules_that_break_at_run_time_harm_no_other(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "3")], "id int, s string")
+    good = [Rule.of("id", "is_greater_than", k) for k in range(6)]
+    bad = Rule.of("s", "satisfies", "CAST(s AS INT) > 0 OR raise_error('no') IS NULL")
+    out = validate(df, [*good[:3], bad, *good[3:]]).results
+    assert [r.status for r in out] == ["PASS", "FAIL", "FAIL", "ERROR", "FAIL", "FAIL", "FAIL"]
+
+
+def test_sampled_profiles(spark):
+    df = spark.range(2000).selectExpr("id", "id % 7 AS k")
+    first, second = profile(df, 0.25).to_map()["column_profiles"], profile(df, 0.25).to_map()["column_profiles"]
+    assert first == second and 400 < first["id"]["row_count"] < 600 and first["k"]["distinct_count"] == 7
+    for fraction in (None, 0.0, 1.0, 1.5):
+        assert profile(df, fraction).table_stats["total_rows"] == 2000
+
+
+def test_distinct_values_of_profiles(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0.0, "a", [1], {"x": 1}, None), (-0.0, "a", [1], {"x": 1}, None), (nan, "", [1, None], {"x": 2}, None), (nan, None, None, None, None)], "d double, s string, a array<int>, m map<string,int>, n int")
+    assert {k: v.distinct_count for k, v in profile(df).column_profiles.items()} == {"d": 2, "s": 2, "a": 2, "m": 2, "n": 0}
+    assert profile(spark.createDataFrame([], "x int")).column_profiles["x"].distinct_count == 0
+
+
+def test_key_sets_are_counted_once(spark):
+    df = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "a int, b int")
+    report = validate(df, [Rule.of(["a", "b"], "are_unique"), Rule.of(["B", "a"], "is_composite_key")])
+    assert [r.fail_count for r in report.results] == [2, 2] and len(report.validated._held) == 1
+    assert report.bad.count() == 2
+    report.validated.release()
+    assert report.bad.count() == 2
+
+
+def test_contract_verdicts(spark):
+    df = spark.createDataFrame([], "a array<int>, s struct<x:int,y:string>, c string COMMENT 'note'")
+    contract = SchemaContract.of(
+        {
+            "a": {"type": "array", "element_type": "string", "nullable": False},
+            "s": {"type": "struct", "fields": [{"name": "x", "type": "string"}, {"name": "z", "type": "string"}, {"name": "o", "is_optional": True}], "require_comment": True},
+            "c": {"type": "string", "expected_comment": "other", "nullable": False},
+            "t": "no_such_type",
+        }
+    )
+    report = check_schema(df.withColumn("t", df.c), contract)
+    assert set(report.type_errors) == {"a", "s.x", "t"} and set(report.metadata_errors) == {"a", "s", "c"} and report.missing_columns == ["s.z"]
+    assert report.metadata_errors["c"].startswith("Schema violation") and report.total_issues == 7
