@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contextual_pii, host_reputation, interleave, line_crf, mixing, progressive_jpeg, simhash_pivot, site_quality, substring_dedup
+from . import bpe, contextual_pii, host_reputation, interleave, line_crf, mixing, progressive_jpeg, simhash_pivot, simhash_sql, site_quality, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,4 +100,4 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op6_systematic_mix": OP6_SQL, "op9_host_reputation": host_reputation.ORACLE, "op10_interleave": interleave.ORACLE}
+    return {"op1_substring_dedup": OP1_SQL, "op6_systematic_mix": OP6_SQL, "op8_simhash": simhash_sql.oracle(), "op9_host_reputation": host_reputation.ORACLE, "op10_interleave": interleave.ORACLE}

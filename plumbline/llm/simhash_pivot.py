@@ -26,8 +26,10 @@ common. The order puts shingles last that are frequent in a sample; any order gi
 files of shingles small. Pairs that are already in one group aren't verified again.
 
 Defined cases: null or empty text has the fingerprint 0, linked like any other; texts of one or two words have one
-shingle, the whole sequence; rows repeated with one id are one document with several fingerprints; an empty table
-gives an empty result; other columns are not used; texts are handled whole.
+shingle, the whole sequence; rows repeated with one id are one document with several fingerprints; rows without an id
+link like others but don't name their component, which has no name (null) if none of its rows has an id; an empty table
+gives an empty result; other columns are not used, and pass through ``representatives``, whatever their names; texts are
+handled whole.
 """
 
 from __future__ import annotations

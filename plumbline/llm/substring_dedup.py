@@ -18,7 +18,8 @@ the odds of a false hit grow with the input (false hits only cost work; step 2 c
 ``FANOUT`` buckets at most, and only those that get something are visited; where more are needed, tasks that each gather
 the same buckets of many chunks cut them again. Each step ends in a table in the shared folder.
 
-Defined cases: null text has no words and an empty kept text; texts of under 20 words are kept whole; equal rows with
+Defined cases: ids are whole numbers, or what a cast to long takes (their order is that of the documents; other ids are an
+error); null text has no words and an empty kept text; texts of under 20 words are kept whole; equal rows with
 one id count as one document, and both lose the same words; rows of one id with different texts are ordered by a hash
 of the text; null ids come before all others; windows are judged on the input alone; other columns are not used;
 an empty table gives an empty result; very long texts are handled whole, as chunks of their own.
