@@ -2,6 +2,11 @@
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 one's ``docs``. All stages but the last return the columns of ``docs``.
+
+Defined cases, of each stage: null text is scored, compared and encoded as the empty text, and stays null until then; rows
+without an id, or with one id and different texts, are documents of their own, and rows equal in id and text are one from
+near-dedup on; a document without a page has no site; without labels the classifier keeps all; a table without rows gives
+none; very long texts are handled whole; columns beyond those used pass through, whatever their names.
 """
 
 from __future__ import annotations
