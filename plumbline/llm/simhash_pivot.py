@@ -23,7 +23,9 @@ Components of the forests' union come from alternating star contractions over th
 only give the first pairs to verify, which unite large groups at little cost. The rest come from an exact join, which
 loses no pair: in one order of all shingles, the first ``n - ceil(0.8 n) + 1`` of two such sets of n have one in
 common. The order puts shingles last that are frequent in a sample; any order gives the same pairs, this one keeps the
-files of shingles small. Pairs that are already in one group aren't verified again.
+files of shingles small. Pairs that are already in one group aren't verified again; so that large groups are found before
+their pairs are listed, each set first meets only ``FEW`` others, in a shuffled order, in each of the files of its first
+``PLACES`` shingles. The join that follows lists what is left: pairs of sets that are in different groups by then.
 
 Defined cases: null or empty text has the fingerprint 0, linked like any other; texts of one or two words have one
 shingle, the whole sequence; rows repeated with one id are one document with several fingerprints; rows without an id
@@ -34,6 +36,7 @@ handled whole.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -50,6 +53,8 @@ BANDS, BAND_BITS = 8, 8
 NEAR_SHINGLE, NEAR = 5, (4, 5)
 #: For the order of shingles alone: texts of the sample, texts of these that make a shingle frequent, frequent shingles at most.
 ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 200_000
+#: For the meetings that unite large groups.
+PLACES, FEW = 8, 4
 #: Bits of a block; the pivot table has a column for each of the blocks of the two free bands.
 BLOCK_BITS = 2
 BLOCKS = 2 * BAND_BITS // BLOCK_BITS
@@ -315,28 +320,33 @@ def shingle_marks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     return texts.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long, sig long, n long, firsts binary")
 
 
-def _entries(batches):
-    """(sig, root, n, firsts) -> a row for each of the first shingles, with its place."""
-    for batch in chain.from_iterable(map(slices, batches)):
-        firsts = [np.frombuffer(b, np.int64) for b in batch.column(3).to_pylist()]
-        count = [len(x) for x in firsts]
-        spread = [np.repeat(batch.column(k).to_numpy(), count) for k in range(3)]
-        place = np.concatenate([np.arange(c) for c in count])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *map(pa.array, spread), pa.array(place.astype(np.int64))], ["shingle", "sig", "root", "n", "place"])
-    give_back()
+def _entries(places: int | None = None):
+    """(sig, root, n, firsts) -> a row for each of the first shingles (or of so many), with its place."""
 
+    def run(batches):
+        for batch in chain.from_iterable(map(slices, batches)):
+            firsts = [np.frombuffer(b, np.int64)[:places] for b in batch.column(3).to_pylist()]
+            count = [len(x) for x in firsts]
+            spread = [np.repeat(batch.column(k).to_numpy(), count) for k in range(3)]
+            place = np.concatenate([np.arange(c) for c in count])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *map(pa.array, spread), pa.array(place.astype(np.int64))], ["shingle", "sig", "root", "n", "place"])
+        give_back()
 
-def _meetings(batches):
-    """(shingle, sig, root, n, place), sorted by shingle and n -> pairs of sets that may be similar, of different roots."""
-    held: pa.Table | None = None
+    return run
+
+
+def _meetings(few: int | None = None):
+    """(shingle, sig, root, n, place), sorted by shingle and n -> pairs of sets that may be similar, of different roots; or,
+    sorted by shingle in any order, those among each one and the next ``few``."""
 
     def pairs(table):
         key, sig, root, n, place = (c.to_numpy() for c in table.columns)
         alive, lag = np.nonzero(key[:-1] == key[1:])[0], 1
-        while len(alive):
-            a, b = alive, alive + lag
-            alive = alive[n[a] * NEAR[1] >= n[b] * NEAR[0]]  # sizes grow with the lag
+        while len(alive) and (few is None or lag <= few):
             a, b = alive, alive + lag
+            if few is None:  # sizes grow with the lag
+                alive = alive[n[a] * NEAR[1] >= n[b] * NEAR[0]]
+                a, b = alive, alive + lag
             # where this is the first shingle they share, at most so many are; elsewhere the first one's file has the pair
             most = np.minimum(n[a] - place[a], n[b] - place[b])
             may = (root[a] != root[b]) & (most * (NEAR[0] + NEAR[1]) >= NEAR[0] * (n[a] + n[b]))
@@ -348,17 +358,22 @@ def _meetings(batches):
             alive = alive[alive + lag < len(key)]
             alive = alive[key[alive] == key[alive + lag]]
 
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        held = now if held is None else pa.concat_tables([held, now])
-        key = held.column(0).to_numpy()
-        cut = np.nonzero(key != key[-1])[0]  # the last file may go on
-        if len(held) >= 50_000 and len(cut):
-            yield from pairs(held.slice(0, int(cut[-1]) + 1))
-            held = held.slice(int(cut[-1]) + 1)
-    if held is not None and len(held):
-        yield from pairs(held)
-    give_back()
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            key = held.column(0).to_numpy()
+            cut = np.nonzero(key != key[-1])[0]  # the last file may go on
+            if len(held) >= 50_000 and len(cut):
+                yield from pairs(held.slice(0, int(cut[-1]) + 1))
+                held = held.slice(int(cut[-1]) + 1)
+        if held is not None and len(held):
+            yield from pairs(held)
+        held = None
+        give_back()
+
+    return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -392,14 +407,19 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     of = lambda c: least.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))
     first = sets.join(least, "fp").select(F.col("sig").alias("a"), F.col("low").alias("b"))
     first = first.unionByName(links(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
-    known = verified(first, sets, texts)
-    # all other similar pairs
-    rooted = sets.join(components(known).withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", "firsts")
-    entries = rooted.mapInArrow(_entries, "shingle long, sig long, root long, n long, place long")
-    met = entries.repartition("shingle").sortWithinPartitions("shingle", "n", "sig").mapInArrow(_meetings, "a long, b long")
-    more = verified(met, sets, texts)
-    roots = components(known.unionByName(more)).withColumnRenamed("node", "sig")
-    dropped(sets, least, known, more)
+    found = [verified(first, sets, texts)]
+    groups = lambda: components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "sig")
+
+    def entries(places: int | None = None) -> DataFrame:
+        rooted = sets.join(groups(), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", "firsts")
+        return rooted.mapInArrow(_entries(places), "shingle long, sig long, root long, n long, place long").repartition("shingle")
+
+    some = entries(PLACES).sortWithinPartitions("shingle", F.xxhash64("sig", "shingle")).mapInArrow(_meetings(FEW), "a long, b long")
+    found.append(verified(some, sets, texts))
+    rest = entries().sortWithinPartitions("shingle", "n", "sig").mapInArrow(_meetings(), "a long, b long")
+    found.append(verified(rest, sets, texts))
+    roots = groups()
+    dropped(sets, least, *found)
     return marks.select("doc_id", "text_key", "sig").join(roots, "sig", "left").select("doc_id", "text_key", F.coalesce("root", "sig").alias("root"))
 
 
