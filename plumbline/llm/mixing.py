@@ -51,9 +51,10 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), budget: float = 1.5, max
     full = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     s = s.withColumns({"want": want, "full": full, "rest": F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))})
     s = s.withColumn("level", (F.col("want") - F.col("full")) / F.col("rest"))
-    # the level after all sources at their cap: the first that doesn't reach its cap
+    # the level after all sources at their cap: that of the first one below its cap; later ones count it as full, so theirs
+    # are lower
     below = F.col("level") * F.col("weight") <= F.col("cap")
-    s = s.withColumn("end", F.min(F.when(below, F.col("level"))).over(Window.partitionBy()))
+    s = s.withColumn("end", F.max(F.when(below, F.col("level"))).over(Window.partitionBy()))
     return s.select("source", "total", F.when(below, F.col("end") * F.col("weight")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 

@@ -80,7 +80,7 @@ s1 AS (SELECT *, 1.5 * (sum(total) OVER ())::DOUBLE AS want, (2 * total)::DOUBLE
   coalesce(sum(2 * total) OVER (ORDER BY (2 * total)::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before,
   (sum(w) OVER (ORDER BY (2 * total)::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS left_w FROM s0),
 s2 AS (SELECT *, (want - before) / left_w AS level FROM s1),
-s3 AS (SELECT *, min(CASE WHEN level * w <= cap THEN level END) OVER () AS fin FROM s2),
+s3 AS (SELECT *, max(CASE WHEN level * w <= cap THEN level END) OVER () AS fin FROM s2),
 s AS (SELECT source, total, CASE WHEN level * w <= cap THEN fin * w ELSE cap END AS target,
   (('0x' || substr(md5('mix-1|' || coalesce(source, '')), 1, 8))::BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM s3),
 j AS (SELECT k.*, total, target, u, CASE WHEN total > 0 THEN target / total::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM k JOIN s ON k.source IS NOT DISTINCT FROM s.source)

@@ -538,6 +538,25 @@ def test_mix(spark, docs, rows, empty):
     assert mixing.mixed_documents(docs).columns == docs.columns and mixing.mix_keys(empty).count() == mixing.mixed_documents(empty).count() == 0
 
 
+def test_targets_by_sharing_again_and_again(spark):
+    rng = random.Random(12)
+    for n in (1, 2, 5, 23):
+        totals = {None if k == n - 1 and n > 2 else f"s{k:02d}": rng.choice([0, 1, 7, rng.randrange(1, 5000)]) for k in range(n)}
+        got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(totals.items()), "source string, total long")).collect()}
+        left = sorted(totals, key=lambda x: (x is None, x or ""))
+        weights, want, rest = {x: (3, 1, 2)[k % 3] for k, x in enumerate(left)}, {}, 1.5 * sum(totals.values())
+        while left:
+            share = {x: rest * weights[x] / sum(weights[y] for y in left) for x in left}
+            full = [x for x in left if share[x] > 2 * totals[x]]
+            if not full:
+                want |= share
+                break
+            for x in full:
+                want[x], rest = 2 * totals[x], rest - 2 * totals[x]
+                left.remove(x)
+        assert all(abs(got[x] - want[x]) < 1e-6 for x in totals) and abs(sum(got.values()) - 1.5 * sum(totals.values())) < 1e-6
+
+
 def test_mix_of_repeated_rows_and_rows_without_an_id(spark):
     data = [(None, "a b c", "s", 1, 2)] * 40 + [(None, f"x{k} y", "s", 1, 2) for k in range(30)] + [(7, "q", None, 1, 2), (7, "q r", None, 1, 2)]
     df = spark.createDataFrame(data, "doc_id long, text string, `so.urce` string, copies int, _time int")
