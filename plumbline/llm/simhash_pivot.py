@@ -23,9 +23,11 @@ Components of the forests' union come from alternating star contractions over th
 only give the first pairs to verify, which unite large groups at little cost. The rest come from an exact join, which
 loses no pair: in one order of all shingles, the first ``n - ceil(0.8 n) + 1`` of two such sets of n have one in
 common. The order puts shingles last that are frequent in a sample; any order gives the same pairs, this one keeps the
-files of shingles small. Pairs that are already in one group aren't verified again; so that large groups are found before
-their pairs are listed, each set first meets only ``FEW`` others, in a shuffled order, in each of the files of its first
-``PLACES`` shingles. The join that follows lists what is left: pairs of sets that are in different groups by then.
+files of shingles small. Sets also carry the parities of their shingles in ``PARITIES`` classes: where two sets differ in k
+of these they differ in k shingles at least, which discards most dissimilar pairs unseen. Pairs that are already in one
+group aren't verified again; so that large groups are found before their pairs are listed, each set first meets only
+``FEW`` others, in a shuffled order, in each of its files. The join that follows lists what is left: pairs of sets that
+may be similar and are in different groups by then.
 
 Defined cases: null or empty text has the fingerprint 0, linked like any other; texts of one or two words have one
 shingle, the whole sequence; rows repeated with one id are one document with several fingerprints; rows without an id
@@ -53,8 +55,10 @@ BANDS, BAND_BITS = 8, 8
 NEAR_SHINGLE, NEAR = 5, (4, 5)
 #: For the order of shingles alone: texts of the sample, texts of these that make a shingle frequent, frequent shingles at most.
 ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 200_000
-#: For the meetings that unite large groups.
-PLACES, FEW = 8, 4
+#: For the meetings that unite large groups, and the classes of shingles whose parities are kept.
+FEW, PARITIES = 4, 256
+ODD = [f"odd{k}" for k in range(PARITIES // 64)]
+LONGS = ", ".join(f"{c} long" for c in ODD)
 #: Bits of a block; the pivot table has a column for each of the blocks of the two free bands.
 BLOCK_BITS = 2
 BLOCKS = 2 * BAND_BITS // BLOCK_BITS
@@ -270,6 +274,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * NEAR[1] >= NEAR[0] * (len(a) + len(b) - both)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's shingles is in each class, as words of 64 bits."""
+    odd = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(n: int) -> int:
     """So many shingles of a set of ``n``, in any common order, meet those of every similar set."""
     return n - -(-n * NEAR[0] // NEAR[1]) + 1 if n else 0
@@ -293,15 +303,15 @@ def frequent_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def shingle_marks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``texts`` (doc_id, text_key, text) -> doc_id, text_key, fp, sig (hash of the set), n (its size) and its first
-    shingles in the common order, for each row."""
+    """``texts`` (doc_id, text_key, text) -> doc_id, text_key, fp, sig (hash of the set), n (its size), its
+    parities and its first shingles in the common order, for each row."""
     rank = np.argsort(frequent)
     names = frequent[rank]
 
     def run(batches):
         cache = WordHash(200_000)
         for batch in chain.from_iterable(map(slices, batches)):
-            fps, sigs, sizes, firsts = [], [], [], []
+            fps, sigs, sizes, odd, firsts = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, cache)
                 late = np.zeros(len(own), np.int64)
@@ -311,36 +321,35 @@ def shingle_marks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
                 fps.append(fingerprint(text, NEAR_SHINGLE))
                 sigs.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 sizes.append(len(own))
+                odd.append(parities(own))
                 firsts.append(own[np.argsort(late, kind="stable")[: prefix_length(len(own))]].tobytes())
             long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(fps), long(sigs), long(sizes), pa.array(firsts, pa.binary())], ["doc_id", "text_key", "fp", "sig", "n", "firsts"])
+            words = map(pa.array, np.ascontiguousarray(np.array(odd, np.int64).reshape(-1, len(ODD)).T))
+            arrays = [long(fps), long(sigs), long(sizes), *words, pa.array(firsts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "text_key", "fp", "sig", "n", *ODD, "firsts"])
         give_back()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long, sig long, n long, firsts binary")
-
-
-def _entries(places: int | None = None):
-    """(sig, root, n, firsts) -> a row for each of the first shingles (or of so many), with its place."""
+    return texts.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long, sig long, n long, {LONGS}, firsts binary")
 
-    def run(batches):
-        for batch in chain.from_iterable(map(slices, batches)):
-            firsts = [np.frombuffer(b, np.int64)[:places] for b in batch.column(3).to_pylist()]
-            count = [len(x) for x in firsts]
-            spread = [np.repeat(batch.column(k).to_numpy(), count) for k in range(3)]
-            place = np.concatenate([np.arange(c) for c in count])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *map(pa.array, spread), pa.array(place.astype(np.int64))], ["shingle", "sig", "root", "n", "place"])
-        give_back()
 
-    return run
+def _entries(batches):
+    """(sig, root, n, parities, firsts) -> a row for each of the first shingles, with its place."""
+    for batch in chain.from_iterable(map(slices, batches)):
+        firsts = [np.frombuffer(b, np.int64) for b in batch.column(batch.num_columns - 1).to_pylist()]
+        count = [len(x) for x in firsts]
+        spread = [np.repeat(batch.column(k).to_numpy(), count) for k in range(batch.num_columns - 1)]
+        place = np.concatenate([np.arange(c) for c in count])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *map(pa.array, spread), pa.array(place.astype(np.int64))], ["shingle", "sig", "root", "n", *ODD, "place"])
+    give_back()
 
 
 def _meetings(few: int | None = None):
-    """(shingle, sig, root, n, place), sorted by shingle and n -> pairs of sets that may be similar, of different roots; or,
-    sorted by shingle in any order, those among each one and the next ``few``."""
+    """(shingle, sig, root, n, parities, place), sorted by shingle and n -> pairs of sets that may be similar, of different
+    roots; or, sorted by shingle in any order, those among each one and the next ``few``."""
 
     def pairs(table):
-        key, sig, root, n, place = (c.to_numpy() for c in table.columns)
+        key, sig, root, n, *odd, place = (c.to_numpy() for c in table.columns)
         alive, lag = np.nonzero(key[:-1] == key[1:])[0], 1
         while len(alive) and (few is None or lag <= few):
             a, b = alive, alive + lag
@@ -350,6 +359,9 @@ def _meetings(few: int | None = None):
             # where this is the first shingle they share, at most so many are; elsewhere the first one's file has the pair
             most = np.minimum(n[a] - place[a], n[b] - place[b])
             may = (root[a] != root[b]) & (most * (NEAR[0] + NEAR[1]) >= NEAR[0] * (n[a] + n[b]))
+            a, b = a[may], b[may]
+            differ = sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int64) for x in odd)
+            may = differ * (NEAR[0] + NEAR[1]) <= (NEAR[1] - NEAR[0]) * (n[a] + n[b])
             if may.any():
                 x, y = sig[a[may]], sig[b[may]]
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
@@ -401,7 +413,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, text_key and root (what the rows of a group have in common) for every row: groups by exact similarity."""
     texts = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.xxhash64(quoted(text)).alias("text_key"), F.col(quoted(text)).alias("text"))
     marks = stored(shingle_marks(texts, frequent_shingles(texts)), "near-marks")
-    sets = stored(marks.groupBy("sig").agg(F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("firsts").alias("firsts")), "near-sets")
+    sets = stored(marks.groupBy("sig").agg(F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", *ODD, "firsts")]), "near-sets")
     # what fingerprints link, by the least set of each fingerprint
     least = stored(sets.groupBy("fp").agg(F.min("sig").alias("low")), "near-fingerprints")
     of = lambda c: least.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))
@@ -410,14 +422,13 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = [verified(first, sets, texts)]
     groups = lambda: components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "sig")
 
-    def entries(places: int | None = None) -> DataFrame:
-        rooted = sets.join(groups(), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", "firsts")
-        return rooted.mapInArrow(_entries(places), "shingle long, sig long, root long, n long, place long").repartition("shingle")
+    def met(few: int | None, *order) -> DataFrame:
+        rooted = sets.join(groups(), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", *ODD, "firsts")
+        entries = rooted.mapInArrow(_entries, f"shingle long, sig long, root long, n long, {LONGS}, place long")
+        return entries.repartition("shingle").sortWithinPartitions("shingle", *order).mapInArrow(_meetings(few), "a long, b long")
 
-    some = entries(PLACES).sortWithinPartitions("shingle", F.xxhash64("sig", "shingle")).mapInArrow(_meetings(FEW), "a long, b long")
-    found.append(verified(some, sets, texts))
-    rest = entries().sortWithinPartitions("shingle", "n", "sig").mapInArrow(_meetings(), "a long, b long")
-    found.append(verified(rest, sets, texts))
+    found.append(verified(met(FEW, F.xxhash64("sig", "shingle")), sets, texts))
+    found.append(verified(met(None, "n", "sig"), sets, texts))
     roots = groups()
     dropped(sets, least, *found)
     return marks.select("doc_id", "text_key", "sig").join(roots, "sig", "left").select("doc_id", "text_key", F.coalesce("root", "sig").alias("root"))

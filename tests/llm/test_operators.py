@@ -796,6 +796,39 @@ def test_near_copies_are_one(spark):
     assert wide > 20  # what two bits of 3-word fingerprints don't link
 
 
+def test_large_groups_are_united_before_pairs_are_listed(spark):
+    """Near copies of one text: far fewer pairs are verified than there are, and none is lost by parities."""
+    rng = random.Random(9)
+    base = [f"v{k}" for k in range(150)]
+    texts = []
+    for _ in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(150)] = f"e{rng.random()}"
+        texts.append(" ".join(w))
+    cache = simhash_pivot.WordHash()
+    sets = [simhash_pivot.shingle_set(t, cache) for t in texts]
+    odd = np.array([simhash_pivot.parities(x) for x in sets]).view(np.uint64)
+    for _ in range(3000):
+        a, b = rng.sample(range(400), 2)
+        assert np.bitwise_count(odd[a] ^ odd[b]).sum() <= len(np.setxor1d(sets[a], sets[b]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    verify = simhash_pivot.verified
+    try:
+        simhash_pivot.verified = lambda pairs, *more: (seen.append(pairs.distinct().count()), verify(pairs, *more))[1]
+        kept = [r.doc_id for r in simhash_pivot.representatives(df).collect()]
+    finally:
+        simhash_pivot.verified = verify
+    label, queue = {0}, [0]
+    for a in queue:
+        for b in range(400):
+            if b not in label and simhash_pivot.similar(sets[a], sets[b]):
+                label.add(b)
+                queue.append(b)
+    assert 0 in kept and len(kept) == 400 - len(label) + 1 and sum(seen) < 20_000
+
+
 def test_rows_without_an_id_are_documents(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(30))
     data = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("c")), (7, text("d")), (8, text("d")), (9, text("d") + " e")]
