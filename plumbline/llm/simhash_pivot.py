@@ -27,7 +27,8 @@ files of shingles small. Sets also carry the parities of their shingles in ``PAR
 of these they differ in k shingles at least, which discards most dissimilar pairs unseen. Pairs that are already in one
 group aren't verified again; so that large groups are found before their pairs are listed, each set first meets only
 ``FEW`` others, in a shuffled order, in each of its files. The join that follows lists what is left: pairs of sets that
-may be similar and are in different groups by then.
+may be similar and are in different groups by then. Two sets that share a shingle and also the one before it in the
+common order have met there, so of each run of shared shingles only the first lists them.
 
 Defined cases: null or empty text has the fingerprint 0, linked like any other; texts of one or two words have one
 shingle, the whole sequence; rows repeated with one id are one document with several fingerprints; rows without an id
@@ -334,22 +335,25 @@ def shingle_marks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _entries(batches):
-    """(sig, root, n, parities, firsts) -> a row for each of the first shingles, with its place."""
+    """(sig, root, n, parities, firsts) -> a row for each of the first shingles, with its place and the one before it (the
+    first one has the set's own sig there)."""
     for batch in chain.from_iterable(map(slices, batches)):
         firsts = [np.frombuffer(b, np.int64) for b in batch.column(batch.num_columns - 1).to_pylist()]
         count = [len(x) for x in firsts]
         spread = [np.repeat(batch.column(k).to_numpy(), count) for k in range(batch.num_columns - 1)]
-        place = np.concatenate([np.arange(c) for c in count])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *map(pa.array, spread), pa.array(place.astype(np.int64))], ["shingle", "sig", "root", "n", *ODD, "place"])
+        place = np.concatenate([np.arange(c) for c in count]).astype(np.int64)
+        shingle = np.concatenate(firsts)
+        before = np.where(place > 0, np.roll(shingle, 1), spread[0])
+        yield pa.RecordBatch.from_arrays([pa.array(shingle), *map(pa.array, spread), pa.array(place), pa.array(before)], ["shingle", "sig", "root", "n", *ODD, "place", "before"])
     give_back()
 
 
 def _meetings(few: int | None = None):
-    """(shingle, sig, root, n, parities, place), sorted by shingle and n -> pairs of sets that may be similar, of different
+    """(shingle, sig, root, n, parities, place, before), sorted by shingle and n -> pairs of sets that may be similar, of different
     roots; or, sorted by shingle in any order, those among each one and the next ``few``."""
 
     def pairs(table):
-        key, sig, root, n, *odd, place = (c.to_numpy() for c in table.columns)
+        key, sig, root, n, *odd, place, before = (c.to_numpy() for c in table.columns)
         alive, lag = np.nonzero(key[:-1] == key[1:])[0], 1
         while len(alive) and (few is None or lag <= few):
             a, b = alive, alive + lag
@@ -359,6 +363,8 @@ def _meetings(few: int | None = None):
             # where this is the first shingle they share, at most so many are; elsewhere the first one's file has the pair
             most = np.minimum(n[a] - place[a], n[b] - place[b])
             may = (root[a] != root[b]) & (most * (NEAR[0] + NEAR[1]) >= NEAR[0] * (n[a] + n[b]))
+            if few is None:
+                may &= before[a] != before[b]
             a, b = a[may], b[may]
             differ = sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int64) for x in odd)
             may = differ * (NEAR[0] + NEAR[1]) <= (NEAR[1] - NEAR[0]) * (n[a] + n[b])
@@ -424,7 +430,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def met(few: int | None, *order) -> DataFrame:
         rooted = sets.join(groups(), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", *ODD, "firsts")
-        entries = rooted.mapInArrow(_entries, f"shingle long, sig long, root long, n long, {LONGS}, place long")
+        entries = rooted.mapInArrow(_entries, f"shingle long, sig long, root long, n long, {LONGS}, place long, before long")
         return entries.repartition("shingle").sortWithinPartitions("shingle", *order).mapInArrow(_meetings(few), "a long, b long")
 
     found.append(verified(met(FEW, F.xxhash64("sig", "shingle")), sets, texts))
