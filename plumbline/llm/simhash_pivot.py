@@ -22,13 +22,22 @@ Components of the forests' union come from alternating star contractions over th
 5-word shingles. No number of differing bits follows from a similarity, so fingerprints of five words and their links
 only give the first pairs to verify, which unite large groups at little cost. The rest come from an exact join, which
 loses no pair: in one order of all shingles, the first ``n - ceil(0.8 n) + 1`` of two such sets of n have one in
-common. The order puts shingles last that are frequent in a sample; any order gives the same pairs, this one keeps the
-files of shingles small. Sets also carry the parities of their shingles in ``PARITIES`` classes: where two sets differ in k
-of these they differ in k shingles at least, which discards most dissimilar pairs unseen. Pairs that are already in one
-group aren't verified again; so that large groups are found before their pairs are listed, each set first meets only
-``FEW`` others, in a shuffled order, in each of its files. The join that follows lists what is left: pairs of sets that
-may be similar and are in different groups by then. Two sets that share a shingle and also the one before it in the
-common order have met there, so of each run of shared shingles only the first lists them.
+common. Any order gives the same pairs; this one is by the number of rows that have a shingle, counted over all rows, so
+that shingles of one row come first. These meet no other set and needn't be known by name: a set that has as many of
+them as its first shingles are has no similar one and is left out, and of the others only those first shingles are sent
+that more rows have. Passages that many texts quote come last, so unlike texts seldom meet however many there are.
+
+Counting takes about five bytes a shingle. Texts are gathered in chunks; a chunk sends each of ``buckets`` ranges of
+hashes the next 32 bits of its shingles there and the places of their texts in the chunk, and gets back those that more
+rows have, with their number. A shingle is known by these bits: two that agree in them count as one, which changes the
+order for all texts alike, never the pairs.
+
+Sets also carry the parities of their shingles in ``PARITIES`` classes: where two sets differ in k of these they differ
+in k shingles at least, which discards dissimilar pairs unseen. Pairs that are already in one group aren't verified
+again; so that large groups are found before their pairs are listed, each set first meets only ``FEW`` others, in a
+shuffled order, in each of its files. The join that follows lists what is left: pairs of sets that may be similar and are
+in different groups by then. Two sets that share a shingle and also the one before it in the common order have met
+there, so of each run of shared shingles only the first lists them.
 
 Defined cases: null or empty text has the fingerprint 0, linked like any other; texts of one or two words have one
 shingle, the whole sequence; rows repeated with one id are one document with several fingerprints; rows without an id
@@ -39,6 +48,7 @@ handled whole.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import chain, combinations
 
@@ -54,8 +64,10 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 BANDS, BAND_BITS = 8, 8
 #: Near copies: words of a shingle, and the least Jaccard similarity as a fraction.
 NEAR_SHINGLE, NEAR = 5, (4, 5)
-#: For the order of shingles alone: texts of the sample, texts of these that make a shingle frequent, frequent shingles at most.
-ORDER_SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 200_000
+#: Shingles and texts of a chunk at most (a longer text alone); characters of text for each bucket, which bounds its shingles.
+CHUNK, CHUNK_TEXTS, BUCKET_CHARS = 2_000_000, 60_000, 6_000_000
+#: Powers of two that the number of buckets keeps to.
+LEAST_BUCKETS, MOST_BUCKETS = 11, 16
 #: For the meetings that unite large groups, and the classes of shingles whose parities are kept.
 FEW, PARITIES = 4, 256
 ODD = [f"odd{k}" for k in range(PARITIES // 64)]
@@ -286,65 +298,140 @@ def prefix_length(n: int) -> int:
     return n - -(-n * NEAR[0] // NEAR[1]) + 1 if n else 0
 
 
-def frequent_shingles(texts: DataFrame) -> np.ndarray:
-    """``texts`` (text_key, text) -> shingles that are frequent in a sample of different texts, the most frequent last."""
-    share = max(1, texts.count() // ORDER_SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(share)) == 0).dropDuplicates(["text_key"])
+def packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of ``values``, cut at these places into binary values."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def run(batches):
-        cache = WordHash(200_000)
-        for batch in chain.from_iterable(map(slices, batches)):
-            sets = [shingle_set(t, cache) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
-        give_back()
 
-    counts = some.select("text_key", "text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    got = counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
-    return got.column("shingle").to_numpy().view(np.uint64)[::-1].copy()
+def unpacked(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` has packed, and the number of values of each row."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), kind), np.array([len(x) for x in parts], np.int64) // np.dtype(kind).itemsize
 
 
-def shingle_marks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``texts`` (doc_id, text_key, text) -> doc_id, text_key, fp, sig (hash of the set), n (its size), its
-    parities and its first shingles in the common order, for each row."""
-    rank = np.argsort(frequent)
-    names = frequent[rank]
+def bucket_bits(texts: DataFrame) -> int:
+    chars = texts.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, int(chars // BUCKET_CHARS).bit_length()))
+
+
+def shingle_marks(texts: DataFrame, bits: int) -> DataFrame:
+    """``texts`` (doc_id, text_key, text) -> doc_id, text_key, fp, sig (hash of the set), n (its size) and its parities for
+    each row, whose chunk is null; and for each chunk what it sends to 2^``bits`` buckets: low (32 bits of its shingles), and
+    step and high (how much further each one's text is than the last one's, in two bytes). In bucket -1 are the sigs (low)
+    and sizes (step) of its texts."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    marks = ["doc_id", "text_key", "fp", "sig", "n", *ODD]
+    parts = ["chunk", "bucket", "low", "step", "high"]
+
+    def sent(doc_type, sets: list[np.ndarray], sigs: list[int]) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in sets], np.int64)
+        shingles, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        bucket = (shingles >> np.uint64(64 - bits)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")  # a bucket's texts stay in order
+        at, starts = np.unique(bucket[order], return_index=True)
+        cuts = np.append(starts, len(order))
+        owner = owner[order]
+        step = np.diff(owner, prepend=0)
+        step[starts] = owner[starts]
+        low = ((shingles[order] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        one = np.array([0, len(sets)])
+        head = [packed(np.array(sigs, np.uint64), one), packed(sizes, one), pa.array([b""])]
+        body = [packed(low, cuts), packed((step & 255).astype(np.uint8), cuts), packed((step >> 8).astype(np.uint8), cuts)]
+        chunk, rows = uuid.uuid4().int >> 65, len(at) + 1
+        arrays = [pa.array(np.full(rows, chunk)), pa.array(np.append(-1, at.astype(np.int64))), *[pa.concat_arrays([h, b]) for h, b in zip(head, body)]]
+        nulls = [pa.nulls(rows, doc_type), *[pa.nulls(rows, pa.int64())] * (len(marks) - 1)]
+        return pa.RecordBatch.from_arrays([*nulls, *arrays], [*marks, *parts])
 
     def run(batches):
         cache = WordHash(200_000)
+        sets, names, held, doc_type = [], [], 0, None
         for batch in chain.from_iterable(map(slices, batches)):
-            fps, sigs, sizes, odd, firsts = [], [], [], [], []
+            doc_type = batch.column(0).type
+            fps, sigs, sizes, odd = [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, cache)
-                late = np.zeros(len(own), np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-                    late = np.where(names[at] == own, rank[at] + 1, 0)
                 fps.append(fingerprint(text, NEAR_SHINGLE))
                 sigs.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 sizes.append(len(own))
                 odd.append(parities(own))
-                firsts.append(own[np.argsort(late, kind="stable")[: prefix_length(len(own))]].tobytes())
+                if sets and (held + len(own) > CHUNK or len(sets) >= CHUNK_TEXTS):
+                    yield sent(doc_type, sets, names)
+                    sets, names, held = [], [], 0
+                sets.append(own)
+                names.append(sigs[-1])
+                held += len(own)
             long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             words = map(pa.array, np.ascontiguousarray(np.array(odd, np.int64).reshape(-1, len(ODD)).T))
-            arrays = [long(fps), long(sigs), long(sizes), *words, pa.array(firsts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "text_key", "fp", "sig", "n", *ODD, "firsts"])
+            none = [pa.nulls(len(fps), t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 3)]
+            arrays = [batch.column(0), batch.column(1), long(fps), long(sigs), long(sizes), *words, *none]
+            yield pa.RecordBatch.from_arrays(arrays, [*marks, *parts])
+        if sets:
+            yield sent(doc_type, sets, names)
+        sets = None
         give_back()
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long, sig long, n long, {LONGS}, firsts binary")
+    schema = f"doc_id {kind}, text_key long, fp long, sig long, n long, {LONGS}, chunk long, bucket long, low binary, step binary, high binary"
+    return texts.select("doc_id", "text_key", "text").mapInArrow(run, schema)
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """What chunks send to one bucket -> for each of them the shingles that more rows have (low), the places of their
+    texts in the chunk, and the numbers of rows."""
+    low, count = unpacked(table["low"], np.uint32)
+    step = unpacked(table["step"], np.uint8)[0] + 256 * unpacked(table["high"], np.uint8)[0].astype(np.int64)
+    row, starts = np.repeat(np.arange(len(count)), count), np.cumsum(count) - count
+    place = np.cumsum(step)
+    place -= (place[starts] - step[starts])[row]
+    _, which, rows = np.unique(low, return_inverse=True, return_counts=True)
+    rows = rows[which]
+    more = rows > 1
+    cuts = np.append(0, np.cumsum(np.bincount(row[more], minlength=len(count))))
+    out = [table["chunk"].combine_chunks(), table["bucket"].combine_chunks(), packed(low[more], cuts), packed(place[more].astype(np.uint16), cuts), packed(rows[more].astype(np.uint32), cuts)]
+    return pa.Table.from_arrays(out, ["chunk", "bucket", "low", "place", "rows"]).filter(pa.array(np.diff(cuts) > 0))
+
+
+def _firsts(table: pa.Table) -> pa.Table:
+    """What one chunk gets back, and its bucket -1 -> sig, n, alone (shingles that no other row has) and firsts (those of
+    its first shingles that other rows have, in order) of texts that have some."""
+    bucket = table["bucket"].to_numpy()
+    head = int(np.nonzero(bucket < 0)[0][0])
+    sig, size = np.frombuffer(table["low"][head].as_py(), np.int64), np.frombuffer(table["place"][head].as_py(), np.int64)
+    table = table.filter(pa.array(bucket >= 0))
+    low, count = unpacked(table["low"], np.uint32)
+    text, rows = unpacked(table["place"], np.uint16)[0].astype(np.int64), unpacked(table["rows"], np.uint32)[0]
+    shingle = np.repeat(table["bucket"].to_numpy(), count) << 32 | low
+    order = np.lexsort((shingle, rows, text))
+    text, shingle = text[order], shingle[order]
+    shared = np.bincount(text, minlength=len(size))
+    alone = size - shared
+    wanted = np.array([prefix_length(k) for k in size.tolist()], np.int64) - alone
+    shingle = shingle[np.arange(len(text)) - (np.cumsum(shared) - shared)[text] < wanted[text]]
+    some = (wanted > 0) & (shared > 0)
+    cuts = np.append(0, np.cumsum(np.clip(np.minimum(wanted, shared), 0, None)[some]))
+    return pa.Table.from_arrays([pa.array(sig[some]), pa.array(size[some]), pa.array(alone[some]), packed(shingle, cuts)], ["sig", "n", "alone", "firsts"])
+
+
+def first_shingles(marks: DataFrame) -> DataFrame:
+    """``shingle_marks`` -> sig, alone, firsts for each set that may have a similar one."""
+    sent = marks.where("bucket >= 0").select("chunk", "bucket", "low", "step", "high")
+    back = sent.groupBy("bucket").applyInArrow(_repeated, "chunk long, bucket long, low binary, place binary, rows binary")
+    heads = marks.where("bucket < 0").select("chunk", "bucket", "low", F.col("step").alias("place"), F.col("high").alias("rows"))
+    lists = back.unionByName(heads).groupBy("chunk").applyInArrow(_firsts, "sig long, n long, alone long, firsts binary")
+    return lists.groupBy("sig").agg(F.first("alone").alias("alone"), F.first("firsts").alias("firsts"))
 
 
 def _entries(batches):
-    """(sig, root, n, parities, firsts) -> a row for each of the first shingles, with its place and the one before it (the
-    first one has the set's own sig there)."""
+    """(sig, root, n, parities, alone, firsts) -> a row for each of the first shingles, with its place and the one before it
+    (the first one that other rows have has the set's own sig there)."""
     for batch in chain.from_iterable(map(slices, batches)):
         firsts = [np.frombuffer(b, np.int64) for b in batch.column(batch.num_columns - 1).to_pylist()]
         count = [len(x) for x in firsts]
-        spread = [np.repeat(batch.column(k).to_numpy(), count) for k in range(batch.num_columns - 1)]
+        *spread, alone = [np.repeat(batch.column(k).to_numpy(), count) for k in range(batch.num_columns - 1)]
         place = np.concatenate([np.arange(c) for c in count]).astype(np.int64)
         shingle = np.concatenate(firsts)
         before = np.where(place > 0, np.roll(shingle, 1), spread[0])
-        yield pa.RecordBatch.from_arrays([pa.array(shingle), *map(pa.array, spread), pa.array(place), pa.array(before)], ["shingle", "sig", "root", "n", *ODD, "place", "before"])
+        yield pa.RecordBatch.from_arrays([pa.array(shingle), *map(pa.array, spread), pa.array(alone + place), pa.array(before)], ["shingle", "sig", "root", "n", *ODD, "place", "before"])
     give_back()
 
 
@@ -418,8 +505,11 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key and root (what the rows of a group have in common) for every row: groups by exact similarity."""
     texts = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.xxhash64(quoted(text)).alias("text_key"), F.col(quoted(text)).alias("text"))
-    marks = stored(shingle_marks(texts, frequent_shingles(texts)), "near-marks")
-    sets = stored(marks.groupBy("sig").agg(F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", *ODD, "firsts")]), "near-sets")
+    every = stored(shingle_marks(texts, bucket_bits(texts)), "near-chunks")
+    marks = stored(every.where("chunk IS NULL").select("doc_id", "text_key", "fp", "sig", "n", *ODD), "near-marks")
+    lists = stored(first_shingles(every), "near-firsts")
+    dropped(every)
+    sets = stored(marks.groupBy("sig").agg(F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("n", *ODD)]), "near-sets")
     # what fingerprints link, by the least set of each fingerprint
     least = stored(sets.groupBy("fp").agg(F.min("sig").alias("low")), "near-fingerprints")
     of = lambda c: least.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}"))
@@ -429,14 +519,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     groups = lambda: components(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "sig")
 
     def met(few: int | None, *order) -> DataFrame:
-        rooted = sets.join(groups(), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", *ODD, "firsts")
+        rooted = lists.join(sets, "sig").join(groups(), "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "n", *ODD, "alone", "firsts")
         entries = rooted.mapInArrow(_entries, f"shingle long, sig long, root long, n long, {LONGS}, place long, before long")
         return entries.repartition("shingle").sortWithinPartitions("shingle", *order).mapInArrow(_meetings(few), "a long, b long")
 
     found.append(verified(met(FEW, F.xxhash64("sig", "shingle")), sets, texts))
     found.append(verified(met(None, "n", "sig"), sets, texts))
     roots = groups()
-    dropped(sets, least, *found)
+    dropped(sets, lists, least, *found)
     return marks.select("doc_id", "text_key", "sig").join(roots, "sig", "left").select("doc_id", "text_key", F.coalesce("root", "sig").alias("root"))
 
 

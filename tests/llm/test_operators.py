@@ -829,6 +829,53 @@ def test_large_groups_are_united_before_pairs_are_listed(spark):
     assert 0 in kept and len(kept) == 400 - len(label) + 1 and sum(seen) < 20_000
 
 
+def test_unlike_texts_that_quote_the_same_aren_t_paired(spark):
+    """Long texts that share passages with two others each, and some near copies of these."""
+    rng = random.Random(10)
+    texts = []
+    for k in range(90):
+        own = [f"o{k}x{i}" for i in range(1500)]
+        at = rng.randrange(1500)
+        texts.append(" ".join(own[:at] + [f"q{k // 3}x{i}" for i in range(500)] + own[at:]))
+    near = [t.replace(" o", " é", 20) for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
+    seen = []
+    verify = simhash_pivot.verified
+    try:
+        simhash_pivot.verified = lambda pairs, *more: (seen.append(pairs.where("a <> b").distinct().count()), verify(pairs, *more))[1]
+        kept = [r.doc_id for r in simhash_pivot.representatives(df).collect()]
+    finally:
+        simhash_pivot.verified = verify
+    assert sorted(kept) == list(range(90)) and sum(seen) <= 20
+
+
+def test_first_shingles_that_others_have(spark, monkeypatch):
+    """By brute force: the first shingles of each set in the order of the number of rows that have them, in several chunks."""
+    monkeypatch.setattr(simhash_pivot, "CHUNK", 900)
+    rng = random.Random(11)
+    texts = ["", None, "a b", "a b"]
+    for k in range(60):
+        w = [f"u{k}x{i}" for i in range(rng.randrange(40))] + [f"v{rng.randrange(3)}" for _ in range(60)]
+        texts += [" ".join(w)] * rng.randrange(1, 3)
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_key long, text string").repartition(2)
+    bits = 11
+    marks = simhash_pivot.shingle_marks(df, bits).cache()
+    got = {r.sig: (r.alone, np.frombuffer(r.firsts, np.int64).tolist()) for r in simhash_pivot.first_shingles(marks).collect()}
+    sig = {r.doc_id: (r.sig, r.n) for r in marks.where("chunk IS NULL").collect()}
+    assert marks.where("bucket < 0").count() > 3
+    marks.unpersist()
+    cache = simhash_pivot.WordHash()
+    sets = [[int(x) >> (32 - bits) for x in simhash_pivot.shingle_set(t, cache)] for t in texts]
+    rows = Counter(x for own in sets for x in own)
+    want = {}
+    for i, own in enumerate(sets):
+        order = sorted(own, key=lambda x: (rows[x], x))[: simhash_pivot.prefix_length(len(own))]
+        assert sig[i][1] == len(own)
+        if first := [x for x in order if rows[x] > 1]:
+            want[sig[i][0]] = (sum(rows[x] == 1 for x in own), first)
+    assert got == want
+
+
 def test_rows_without_an_id_are_documents(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(30))
     data = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("c")), (7, text("d")), (8, text("d")), (9, text("d") + " e")]
