@@ -37,7 +37,8 @@ in k shingles at least, which discards dissimilar pairs unseen. Pairs that are a
 again; so that large groups are found before their pairs are listed, each set first meets only ``FEW`` others, in a
 shuffled order, in each of its files. The join that follows lists what is left: pairs of sets that may be similar and are
 in different groups by then. Two sets that share a shingle and also the one before it in the common order have met
-there, so of each run of shared shingles only the first lists them.
+there, so of each run of shared shingles only the first lists them. Pairs between a large group and its outliers still
+grow with the square of the group; texts are sent to verify them once for each block of pairs, not for each pair.
 
 Defined cases: null or empty text has the fingerprint 0, linked like any other; texts of one or two words have one
 shingle, the whole sequence; rows repeated with one id are one document with several fingerprints; rows without an id
@@ -70,6 +71,8 @@ CHUNK, CHUNK_TEXTS, BUCKET_CHARS = 2_000_000, 60_000, 6_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 11, 16
 #: For the meetings that unite large groups, and the classes of shingles whose parities are kept.
 FEW, PARITIES = 4, 256
+#: Texts and characters of a part, on average; pairs are verified in blocks of two parts.
+PART_TEXTS, PART_CHARS = 128, 1_000_000
 ODD = [f"odd{k}" for k in range(PARITIES // 64)]
 LONGS = ", ".join(f"{c} long" for c in ODD)
 #: Bits of a block; the pivot table has a column for each of the blocks of the two free bands.
@@ -481,24 +484,56 @@ def _meetings(few: int | None = None):
     return run
 
 
+def in_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the block in which they are compared; ``sizes``: sig and chars of their texts.
+
+    Pairs go to the least set that is near both. What goes there is cut into parts of ``PART_TEXTS`` and ``PART_CHARS`` on
+    average, and a block holds pairs between two of them: a text is sent once for each part that it has pairs with, not for
+    each pair."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+    near = both.join(near, "b").groupBy("a").agg(F.min("m").alias("m"))
+    of = lambda c: near.select(F.col("a").alias(c), F.col("m").alias(f"near_{c}"))
+    keyed = stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("near_a", "near_b").alias("key")), "near-keys")
+    there = keyed.select("key", F.col("a").alias("sig")).union(keyed.select("key", "b")).distinct().join(sizes, "sig")
+    parts = there.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART_TEXTS, F.sum("chars") / PART_CHARS, F.lit(1))).alias("parts"))
+    parts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(parts, "key")
+    x, y = (F.pmod(F.xxhash64(c), "parts") for c in ("a", "b"))
+    block = F.xxhash64("key", F.least(x, y), F.greatest(x, y)).alias("block")
+    out = stored(joined_by_key(keyed, parts, "key", "n", keyed.count()).select(block, "a", "b"), "near-blocks")
+    dropped(keyed)
+    return out
+
+
+def _compared(batches):
+    """(block, a, b, text), sorted by block, the texts (of a; b is null) before the pairs -> the pairs that are similar."""
+    cache, block, known = WordHash(200_000), None, {}
+    for batch in chain.from_iterable(map(slices, batches)):
+        keep = []
+        for at, a, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != block:
+                block, known = at, {}
+            if b is None:
+                known[a] = shingle_set(text, cache)
+            keep.append(b is not None and similar(known[a], known[b]))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    known = None
+    give_back()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b: sig) whose whole texts are similar. ``sets``: sig and text_key of one text that has it."""
     pairs = stored(pairs.where("a <> b").distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", F.col("text_key").alias("_key")), "sig")
     whole = texts.select("text_key", "text").join(wanted, F.col("text_key") == F.col("_key")).groupBy("sig").agg(F.first("text").alias("text"))
-    whole = stored(whole, "near-texts")
-    left, right = whole.select(F.col("sig").alias("a"), F.col("text").alias("x")), whole.select(F.col("sig").alias("b"), F.col("text").alias("y"))
-
-    def run(batches):
-        cache = WordHash(200_000)
-        for batch in chain.from_iterable(map(slices, batches)):
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = [similar(shingle_set(s, cache), shingle_set(t, cache)) for s, t in zip(x, y)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        give_back()
-
-    out = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near-links")
-    dropped(pairs, whole)
+    whole = stored(whole.select("sig", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), "text"), "near-texts")
+    blocks = in_blocks(pairs, whole.select("sig", "chars"))
+    sent = blocks.select("block", F.col("a").alias("sig")).union(blocks.select("block", "b")).distinct().join(whole, "sig")
+    rows = sent.select("block", F.col("sig").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = rows.unionByName(blocks.select("block", "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition("block").sortWithinPartitions("block", F.col("b").isNotNull())
+    out = stored(rows.mapInArrow(_compared, "a long, b long"), "near-links")
+    dropped(pairs, whole, blocks)
     return out
 
 

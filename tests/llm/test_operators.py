@@ -829,6 +829,40 @@ def test_large_groups_are_united_before_pairs_are_listed(spark):
     assert 0 in kept and len(kept) == 400 - len(label) + 1 and sum(seen) < 20_000
 
 
+def test_texts_are_sent_once_for_a_block_of_pairs(spark, monkeypatch):
+    """All pairs of 300 near copies and some of others: far fewer texts are sent than there are pairs, each pair is compared
+    once, where both of its texts are, and those that are similar are found, in large and in small blocks."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(100)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"e{k}x{i}" for i, w in enumerate(base)) for k in range(300)]
+    texts += [None, "", "one", *(" ".join(f"c{k // 2}x{i}" for i in range(20 + k % 2)) for k in range(40))]
+    few = [(a, a + 1) for a in range(300, len(texts) - 1)]
+    every = [*((a, b) for b in range(300) for a in range(b)), *few]
+    cache = simhash_pivot.WordHash()
+    sets = [simhash_pivot.shingle_set(t, cache) for t in texts]
+    want = {p for p in every if simhash_pivot.similar(sets[p[0]], sets[p[1]])}
+    assert 1000 < len(want) < len(every) - 1000 and want & set(few)
+    docs = spark.createDataFrame(list(enumerate(texts)), "text_key long, text string")
+    keys = docs.selectExpr("text_key AS sig", "text_key")
+    pairs = spark.createDataFrame(every, "a long, b long")
+    real, seen = simhash_pivot.in_blocks, []
+
+    def watched(*given):
+        out = real(*given)
+        seen.extend((r.block, r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash_pivot, "in_blocks", watched)
+    for most, copies in ((128, 4), (16, 26)):
+        monkeypatch.setattr(simhash_pivot, "PART_TEXTS", most)
+        seen.clear()
+        assert {(r.a, r.b) for r in simhash_pivot.verified(pairs.union(pairs), keys, docs).collect()} == want
+        assert sorted(r[1:] for r in seen) == sorted(every)
+        sent = {(block, x) for block, *both in seen for x in both}
+        assert len(sent) <= 300 * copies + 4 * len(few) < len(every) / 4
+        assert max(Counter(block for block, _ in sent).values()) <= 4 * most
+
+
 def test_unlike_texts_that_quote_the_same_aren_t_paired(spark):
     """Long texts that share passages with two others each, and some near copies of these."""
     rng = random.Random(10)
